@@ -84,7 +84,7 @@ def _writer(folder: str, entries: int):
         out.write(end.to_bytes(8, "little"))
         size = out.tell()
         out.close()
-        yield pa.RecordBatch.from_pylist([{"file": name, "first_key": lowest, "last_key": last, "blocks": len(directory), "size": size}])
+        yield pa.RecordBatch.from_pylist([{"file": name, "first_key": lowest, "last_key": last, "blocks": len(directory), "size": size}], pa.schema([("file", pa.string()), ("first_key", pa.string()), ("last_key", pa.string()), ("blocks", pa.int32()), ("size", pa.int64())]))
 
     return run
 

@@ -49,7 +49,7 @@ _SYLLABLES = {
 }
 _ENDS = {("latin", "m"): "", ("latin", "f"): "", ("cyrillic", "m"): "ов", ("cyrillic", "f"): "ова", ("greek", "m"): "ος", ("greek", "f"): "ου"}
 
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ώ][\w’'-]{1,30}"
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΆ-Ω][\w’'-]{1,30}"
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])")
 CARD = re.compile(r"(?<![\d.,-])\d(?:[ -]?\d){12,18}(?![\d-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
