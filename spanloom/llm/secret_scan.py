@@ -26,28 +26,25 @@ from pyspark.sql import functions as F
 REACH = 200
 LEAST_ENTROPY = 3.0
 
-#: (kind, rule, strong, pattern); group "v" or else the whole match is the part.
+#: (kind, rule, strong, pattern, signs): group "v" or else the whole match is the part; any text that matches has one of the signs.
 RULES = [
-    ("secret", "private_key", True, re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----)?")),
-    ("secret", "github_token", True, re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}\b")),
-    ("secret", "slack_token", True, re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
-    ("secret", "google_key", True, re.compile(r"\bAIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])")),
-    ("secret", "stripe_key", True, re.compile(r"\b[rs]k_live_[0-9A-Za-z]{16,}\b")),
-    ("secret", "jwt", True, re.compile(r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}")),
-    ("secret", "assigned", False, re.compile(r"(?i:\b(?:secret|token|password|passwd|pwd|api[_-]?key|secret[_-]?key|access[_-]?token|auth)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{8,})")),
-    ("secret", "random_string", False, re.compile(r"(?<![\w/+=-])(?P<v>(?=[\w/+-]{0,80}[0-9])(?=[\w/+-]{0,80}[A-Za-z])[A-Za-z0-9/+_-]{32,88}={0,2})(?![\w/+=-])")),
-    ("identifier", "aws_access_key_id", False, re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")),
-    ("identifier", "oauth_client", False, re.compile(r"\b[0-9]{6,}-[a-z0-9]{20,}\.apps\.[a-z]+\.com\b")),
-    ("identifier", "account", False, re.compile(r"(?i:\b(?:user(?:name)?|login|client[_-]?id|account[_-]?id|access[_-]?key[_-]?id)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,64})")),
-    ("identifier", "email", False, re.compile(r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,4}\b")),
-    ("endpoint", "url", False, re.compile(r"\b(?:https?|wss?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]{3,300}")),
-    ("endpoint", "host", False, re.compile(r"(?i:\b(?:host(?:name)?|endpoint|server|base[_-]?url)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,253})")),
-    ("endpoint", "address", False, re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\w.])")),
+    ("secret", "private_key", True, re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----)?"), ("PRIVATE KEY-----",)),
+    ("secret", "github_token", True, re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    ("secret", "slack_token", True, re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), ("xox",)),
+    ("secret", "google_key", True, re.compile(r"\bAIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), ("AIza",)),
+    ("secret", "stripe_key", True, re.compile(r"\b[rs]k_live_[0-9A-Za-z]{16,}\b"), ("k_live_",)),
+    ("secret", "jwt", True, re.compile(r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"), ("eyJ",)),
+    ("secret", "assigned", False, re.compile(r"(?i:\b(?:secret|token|password|passwd|pwd|api[_-]?key|secret[_-]?key|access[_-]?token|auth)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{8,})"), ("=", ":")),
+    ("secret", "random_string", False, re.compile(r"(?<![\w/+=-])(?P<v>(?=[\w/+-]{0,80}[0-9])(?=[\w/+-]{0,80}[A-Za-z])[A-Za-z0-9/+_-]{32,88}={0,2})(?![\w/+=-])"), "0123456789"),
+    ("identifier", "aws_access_key_id", False, re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"), ("AKIA", "ASIA")),
+    ("identifier", "oauth_client", False, re.compile(r"\b[0-9]{6,}-[a-z0-9]{20,}\.apps\.[a-z]+\.com\b"), (".apps.",)),
+    ("identifier", "account", False, re.compile(r"(?i:\b(?:user(?:name)?|login|client[_-]?id|account[_-]?id|access[_-]?key[_-]?id)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,64})"), ("=", ":")),
+    ("identifier", "email", False, re.compile(r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,4}\b"), ("@",)),
+    ("endpoint", "url", False, re.compile(r"\b(?:https?|wss?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]{3,300}"), ("://",)),
+    ("endpoint", "host", False, re.compile(r"(?i:\b(?:host(?:name)?|endpoint|server|base[_-]?url)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,253})"), ("=", ":")),
+    ("endpoint", "address", False, re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\w.])"), "0123456789"),
 ]
 
-#: Cheap signs of which one is in any text that a rule can match.
-_SIGN = re.compile(r"[0-9@]|://|PRIVATE KEY|[:=]|xox|gh[pousr]_|eyJ")
-
 
 def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
@@ -55,10 +52,10 @@ def entropy(s: str) -> float:
 
 def parts_of(text: str, least_entropy: float = LEAST_ENTROPY) -> list[tuple[str, str, bool, int, int, str]]:
     """(kind, rule, strong, begin, end, digest) of the parts in a text; of one kind none overlaps another."""
-    if not _SIGN.search(text):
-        return []
     out: list[tuple[str, str, bool, int, int, str]] = []
-    for kind, rule, strong, pattern in RULES:
+    for kind, rule, strong, pattern, signs in RULES:
+        if not any(x in text for x in signs):
+            continue
         for m in pattern.finditer(text):
             begin, end = m.span("v") if "v" in pattern.groupindex else m.span()
             value = text[begin:end]
