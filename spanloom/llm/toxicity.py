@@ -49,23 +49,12 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def associated(examples: list[tuple[int, int, dict[str, int]]], least_chi: float = LEAST_CHI, least_ratio: float = LEAST_RATIO, least_share: float = LEAST_SHARE) -> list[str]:
-    """Words associated with toxicity among examples (id, toxic, word counts), sorted."""
-    seen, toxic = Counter(), Counter()
-    for _, y, words in examples:
-        seen.update(words.keys())
-        if y:
-            toxic.update(words.keys())
-    n1 = sum(y for _, y, _ in examples)
-    n0 = len(examples) - n1
-    out = []
-    if n1 and n0:
-        for w, c in seen.items():
-            b = toxic[w]
-            a, p = c - b, c / len(examples)
-            if p < 1 and b >= max(2, least_share * n1) and b / n1 >= least_ratio * a / n0 and (b / n1 - a / n0) ** 2 / (p * (1 - p)) * n0 * n1 / len(examples) >= least_chi:
-                out.append(w)
-    return sorted(out)
+def is_associated(seen: int, toxic: int, n0: int, n1: int, least_chi: float = LEAST_CHI, least_ratio: float = LEAST_RATIO, least_share: float = LEAST_SHARE) -> bool:
+    """Whether a word in `seen` of n0 clean and n1 toxic examples, `toxic` of them toxic, is associated with toxicity."""
+    if not n0 or not n1 or seen >= n0 + n1 or toxic < max(2, least_share * n1):
+        return False
+    high, low, p = toxic / n1, (seen - toxic) / n0, seen / (n0 + n1)
+    return high >= least_ratio * low and (high - low) ** 2 / (p * (1 - p)) * n0 * n1 / (n0 + n1) >= least_chi
 
 
 class BlockMax:
@@ -147,8 +136,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["id", "toxic", "words", "counts"])
 
 
-def _examples(texts: DataFrame, labels: DataFrame, label_id_col: str, label_col: str, per_class: int) -> tuple[list[tuple[int, int, dict[str, int]]], float]:
-    """The bounded sample of labelled documents, and the share of toxic labels."""
+def _examples(texts: DataFrame, labels: DataFrame, label_id_col: str, label_col: str, per_class: int) -> tuple[DataFrame, float]:
+    """The bounded sample of labelled documents (id, toxic, words, counts), and the share of toxic labels."""
     own = labels.select(F.col(label_id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
     own = store(own, "labels")
     share = own.agg(F.avg("toxic")).first()[0] or 0.0
@@ -156,11 +145,8 @@ def _examples(texts: DataFrame, labels: DataFrame, label_id_col: str, label_col:
     for y in (0, 1):
         some = own.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = some if picked is None else picked.unionAll(some)
-    rows = texts.join(F.broadcast(picked), "id").select("id", "toxic", "t").mapInArrow(_word_counts, "id long, toxic int, words array<string>, counts array<long>").collect()
-    by_id: dict[int, tuple[int, dict[str, int]]] = {}
-    for r in sorted(rows, key=lambda r: (r["id"], sorted(zip(r["words"], r["counts"])))):
-        by_id.setdefault(r["id"], (r["toxic"], dict(zip(r["words"], r["counts"]))))
-    return [(i, y, words) for i, (y, words) in sorted(by_id.items())], float(share)
+    rows = texts.join(F.broadcast(picked), "id").select("id", "toxic", "t").mapInArrow(_word_counts, "id long, toxic int, words array<string>, counts array<long>")
+    return store(rows.groupBy("id").agg(F.min(F.struct("toxic", "words", "counts")).alias("m")).select("id", "m.toxic", "m.words", "m.counts"), "examples"), float(share)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS, k: int = NEIGHBOURS, threshold: float = THRESHOLD, least_chi: float = LEAST_CHI, least_ratio: float = LEAST_RATIO, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -168,11 +154,18 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
     examples, prior = _examples(texts, labels, label_id_col, label_col, per_class)
-    words = associated(examples, least_chi, least_ratio, least_share)
+    n1, n = (x or 0 for x in examples.agg(F.sum("toxic"), F.count("*")).first())
+    often = examples.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("seen"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= max(2, least_share * n1))
+    words = sorted(r["w"] for r in often.collect() if is_associated(r["seen"], r["toxic"], n - n1, n1, least_chi, least_ratio, least_share))
     if not words:
         return spark.createDataFrame([], _SCHEMA)
     index = {w: i for i, w in enumerate(words)}
 
+    def own_dimensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [sorted((index[w], c) for w, c in zip(ws, cs) if w in index) for ws, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[d for d, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int64()))], ["id", "toxic", "dims", "counts"])
+
     def dimensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.keys()
         for batch in batches:
@@ -194,13 +187,11 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     for d, n in vectors.where("id is not null").select(F.explode("dims").alias("d")).groupBy("d").count().collect():
         df[d] = n
     idf = np.log((1 + total) / (1 + df))
-    sparse = []
-    for _, _, c in examples:
-        own = sorted(c.keys() & index.keys())
-        sparse.append(unit(np.array([index[w] for w in own], np.int64), np.array([c[w] for w in own], float), idf))
-    search = BlockMax([i for i, _, _ in examples], [y for _, y, _ in examples], sparse, len(words))
-    own_votes = [votes(search.nearest(d, w, k, without=i)) if len(d) else 0.0 for (i, _, _), (d, w) in zip(examples, sparse)]
-    slope, offset = calibration(own_votes, [y for _, y, _ in examples], min(max(prior, 1e-3), 1 - 1e-3))
+    sample = sorted(map(tuple, examples.mapInArrow(own_dimensions, "id long, toxic int, dims array<int>, counts array<long>").collect()))
+    sparse = [unit(np.array(d, np.int64), np.array(c, float), idf) for _, _, d, c in sample]
+    search = BlockMax([x[0] for x in sample], [x[1] for x in sample], sparse, len(words))
+    own_votes = [votes(search.nearest(d, w, k, without=i)) if len(d) else 0.0 for (i, *_), (d, w) in zip(sample, sparse)]
+    slope, offset = calibration(own_votes, [x[1] for x in sample], min(max(prior, 1e-3), 1 - 1e-3))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
