@@ -9,8 +9,12 @@ each is a place of its own.
 
 Hits of one document on one diagonal (same distance to the same reference document) that follow each other block by block form a
 run. For each run both texts are fetched, its words are compared one by one, and it is extended left and right as long as
-words agree: a maximal exact repeat. Those shorter than `least` words are dropped. Windows travel as arrays of about 6 bytes each,
-texts only for documents with hits.
+words agree: a maximal exact repeat. Those shorter than `least` words are dropped.
+
+The reference of a block may share less than `least` words around it with a place that shares more with a third document. So in a
+second round the windows of `least` words around blocks that met, unless a repeat found in the first covers them, are
+matched in the same way. The smallest place of each such window is never covered, so every repeat of `least` words is found.
+Windows travel as arrays of about 6 bytes each, texts only for documents with blocks that met.
 
 Defined results: a null id or text takes no part; fewer than `least` words never repeat; white space of any kind and amount
 separates words and is not compared; rows that repeat an id are no repeats of each other (of differing texts under
@@ -33,7 +37,7 @@ BLOCK = 25
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def spaced(text):
@@ -54,8 +58,9 @@ def word_ranges(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return begins, ends, np.searchsorted(begins, offsets)
 
 
-def _windows(parts: int, block: int):
-    """All windows as rows (part, ids, counts, position, anchor, hash) for each part of the shuffle and about _FLUSH windows."""
+def _windows(parts: int, length: int, choose=None):
+    """Windows of `length` words as rows (part, ids, counts, position, hash) for each part of the shuffle and about _FLUSH windows:
+    all, or those at the positions that choose(words of the text, batch, row) names."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         ids, position, hashes = (np.concatenate(x) for x in zip(*held))
@@ -79,13 +84,17 @@ def _windows(parts: int, block: int):
             for a, b in slices(offsets, 2 << 20):
                 begins, ends, at = word_ranges(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 sums = RangeHash(text[offsets[a] : offsets[b]])
-                many = np.maximum(np.diff(at) - block + 1, 0)
+                if choose is None:
+                    many = np.maximum(np.diff(at) - length + 1, 0)
+                    position = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                else:
+                    chosen = [choose(int(at[i + 1] - at[i]), batch, a + i) for i in range(b - a)]
+                    many, position = np.array([len(c) for c in chosen]), np.concatenate(chosen)
                 if not many.sum():
                     continue
                 doc = np.repeat(np.arange(b - a), many)
-                position = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
                 first = at[doc] + position
-                held.append((ids[a:b][doc], position.astype(np.int32), sums.of(begins[first], ends[first + block - 1])))
+                held.append((ids[a:b][doc], position.astype(np.int32), sums.of(begins[first], ends[first + length - 1])))
                 count += len(doc)
                 if count >= _FLUSH:
                     yield flush(held)
@@ -113,7 +122,10 @@ def _unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def _hits(block: int):
+def _hits(length: int, block: int | None):
+    """Places (id, at) of windows that occur twice, if at a block's place anywhere (block None: all); ref and ref_at are null for places
+    that aren't followed up."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, positions, hashes = [], [], []
         for batch in batches:
@@ -139,14 +151,14 @@ def _hits(block: int):
             return
         new = np.concatenate([[True], value[1:] != value[:-1]])
         group = np.cumsum(new) - 1
-        indexed = np.bincount(group, positions % block == 0) > 0
+        indexed = np.bincount(group, positions % block == 0)[group] > 0 if block else np.ones(len(value), bool)
         head = np.flatnonzero(new)[group]
-        near = np.concatenate([[False], ~new[1:] & (ids[1:] == ids[:-1]) & (positions[1:] - positions[:-1] <= block), [False]])
-        hit = indexed[group] & ((ids != ids[head]) | (positions != positions[head])) & ~(near[:-1] & near[1:] & (np.arange(len(value)) != head + 1))
-        found = np.flatnonzero(hit)
+        near = np.concatenate([[False], ~new[1:] & (ids[1:] == ids[:-1]) & (positions[1:] - positions[:-1] <= length), [False]])
+        hit = ((ids != ids[head]) | (positions != positions[head])) & ~(near[:-1] & near[1:] & (np.arange(len(value)) != head + 1))
+        found = np.flatnonzero(indexed)
         for k in range(0, len(found), 100_000):
             f = found[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[f]), pa.array(positions[f]), pa.array(ids[head[f]]), pa.array(positions[head[f]])], ["id", "at", "ref", "ref_at"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[f]), pa.array(positions[f]), pa.array(ids[head[f]], mask=~hit[f]), pa.array(positions[head[f]], mask=~hit[f])], ["id", "at", "ref", "ref_at"])
 
     return run
 
@@ -191,16 +203,54 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """Rows (doc_id, start, words, ref_id, ref_start): the words of doc_id from start are those of ref_id from ref_start; maximal."""
     if least < 2 * block - 1:
         raise ValueError("least must be at least 2 * block - 1, or a repeat may hold no whole block")
-    spark = docs.sparkSession
-    parts = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), spaced(F.col(text_col)).alias("t")).where("id is not null and t is not null")
-    probed = texts.mapInArrow(_windows(parts, block), "part int, ids binary, counts binary, position binary, hash binary").repartitionById(parts, F.col("part"))
-    hits = probed.mapInArrow(_hits(block), "id long, at int, ref long, ref_at int").distinct().withColumn("shift", F.col("at") - F.col("ref_at"))
+    places = _places(texts, _windows(partitions(docs.sparkSession), block), _hits(block, block))
+    first = store(_maximal(places, texts, block, block, least), "repeats")
+
+    # the second round: where the first has covered a document's words, as (begin, end) that only grow
+    met = places.groupBy("id").agg(F.collect_set("at").alias("at"))
+    covered = first.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("words")).alias("end")))).alias("covered"))
+    own = store(met.join(covered, "id", "left"), "met")
+    rows = own.count()
+    again = texts.join(small(own, rows, 512), "id").select("id", "t", "at", "covered")
+    longer = _places(again, _windows(partitions(docs.sparkSession), least, _uncovered(block, least)), _hits(least, None))
+    return first.unionAll(_maximal(longer, texts, block, least, least)).distinct()
+
+
+def _uncovered(block: int, least: int):
+    """Begins of the windows of `least` words around the places of a document that no repeat of it covers."""
+
+    def choose(words: int, batch: pa.RecordBatch, row: int) -> np.ndarray:
+        if words < least:
+            return np.zeros(0, np.int64)
+        at = np.array(batch.column(2)[row].as_py(), np.int64)
+        begins = np.unique((at[:, None] - np.arange(least - block + 1)).ravel())
+        begins = begins[(begins >= 0) & (begins + least <= words)]
+        covered = batch.column(3)[row].as_py()
+        if covered and len(begins):
+            first = np.array([c["begin"] for c in covered])
+            last = np.maximum.accumulate(np.array([c["end"] for c in covered]))
+            k = np.searchsorted(first, begins, "right") - 1
+            begins = begins[(k < 0) | (last[np.maximum(k, 0)] < begins + least)]
+        return begins
+
+    return choose
+
+
+def _places(texts: DataFrame, windows, hits) -> DataFrame:
+    parts = partitions(texts.sparkSession)
+    probed = texts.mapInArrow(windows, "part int, ids binary, counts binary, position binary, hash binary").repartitionById(parts, F.col("part"))
+    return store(probed.mapInArrow(hits, "id long, at int, ref long, ref_at int"), "places")
+
+
+def _maximal(places: DataFrame, texts: DataFrame, block: int, length: int, least: int) -> DataFrame:
+    """The maximal repeats through the hits of windows of `length` words."""
+    hits = places.where("ref is not null").distinct().withColumn("shift", F.col("at") - F.col("ref_at"))
     own = Window.partitionBy("id", "ref", "shift").orderBy("at")
-    ends = F.col("at") + block
+    ends = F.col("at") + length
     start = F.when(F.col("at") > F.coalesce(F.lag(ends).over(own), F.lit(-1)), 1).otherwise(0)
     runs = hits.withColumn("new", start).withColumn("run", F.sum("new").over(own))
-    runs = runs.groupBy("id", "ref", "shift", "run").agg(F.min("at").alias("begin"), (F.max("at") + block).alias("end"))
+    runs = runs.groupBy("id", "ref", "shift", "run").agg(F.min("at").alias("begin"), (F.max("at") + length).alias("end"))
     pairs = store(runs.groupBy("id", "ref").agg(F.collect_list(F.struct("begin", "end", "shift")).alias("runs")), "runs")
     needed = store(pairs.select("id").unionAll(pairs.select("ref")).distinct(), "needed")
     bodies = texts.join(small(needed, needed.count()), "id", "left_semi").groupBy("id").agg(F.max("t").alias("t"))
