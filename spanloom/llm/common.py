@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,13 @@ def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Short slices of the batches: what a task holds as Python objects at a time stays small."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, which spreads every bit of x."""
     x = x.astype(np.uint64, copy=True)

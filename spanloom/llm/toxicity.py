@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import small, store
+from spanloom.llm.common import pieces, small, store
 
 PER_CLASS = 2000
 LEAST_CHI = 30.0
@@ -131,7 +131,7 @@ def calibration(shares: list[float], toxic: list[int], prior: float) -> tuple[fl
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         counts = [Counter(tokens(t)) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["id", "toxic", "words", "counts"])
 
@@ -168,7 +168,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def dimensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.keys()
-        for batch in batches:
+        for batch in pieces(batches):
             ids, dims, counts = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = tokens(text)
