@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -78,4 +79,5 @@ def sequence_hash(arrays):
             seed ^= (((x + 0x9E3779B9) & 0xFFFFFFFF) + (seed << 6) + (seed >> 2)) & mask
         return seed - ((seed >> 63) << 64)
 
-    return arrays.map(lambda v: None if v is None else fold(v))
+    # as objects: a null would turn the others into floats
+    return pd.Series([None if v is None else fold(v) for v in arrays], dtype=object)

@@ -98,13 +98,14 @@ def exhaustive(signatures: DataFrame, windows: DataFrame, config: SearchConfig,
 def once(found: Found) -> DataFrame:
     """Matches that a search reports which tries candidates from the best prefix cover down (then from the greatest id) and, once
     one has matched, goes on only with those whose cover equals the very best."""
-    ok = found.matches.select("query_id", "doc_id").distinct().withColumn("ok", F.lit(True))
+    matches, prefix = materialise(found.matches, "matches"), materialise(found.prefix, "prefix")
+    ok = matches.select("query_id", "doc_id").distinct().withColumn("ok", F.lit(True))
     order = Window.partitionBy("query_id").orderBy(F.desc("n_prefix"), F.desc("doc_id"))
-    ranked = found.prefix.join(ok, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "n_prefix", F.coalesce("ok", F.lit(False)).alias("ok"), F.row_number().over(order).alias("place"))
+    ranked = prefix.join(ok, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "n_prefix", F.coalesce("ok", F.lit(False)).alias("ok"), F.row_number().over(order).alias("place"))
     own = Window.partitionBy("query_id")
     chosen = ranked.withColumn("first", F.min(F.when(F.col("ok"), F.col("place"))).over(own)).withColumn("top", F.max("n_prefix").over(own))
     chosen = chosen.where("ok and (place = first or (place > first and n_prefix = top))").select("query_id", "doc_id")
-    return found.matches.join(chosen, ["query_id", "doc_id"], "left_semi")
+    return matches.join(chosen, ["query_id", "doc_id"], "left_semi")
 
 
 def search(signatures: DataFrame, windows: DataFrame, config: SearchConfig, index: DataFrame | None = None, count: str = "n") -> DataFrame:
