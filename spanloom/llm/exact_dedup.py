@@ -20,7 +20,7 @@ from spanloom.llm.common import small, store, unused
 def _groups(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(digest, keep_id, copies) of the repeated contents, and (digest, content, keep_id) of digests that several contents share."""
     repeated = store(members.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest"), "digests")
-    known = small(repeated, repeated.count(), 120)
+    known = small(repeated, repeated.count())
     contents = texts.join(known, "digest", "left_semi").groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies"))
     groups = store(contents.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"), F.count("*").alias("contents")), "groups")
     if groups.where("contents > 1").isEmpty():
@@ -29,16 +29,21 @@ def _groups(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     return groups, store(contents.join(collided, "digest", "left_semi"), "collided")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=F.md5) -> DataFrame:
-    """Rows (doc_id, keep_id): each document that is a byte-for-byte copy, and the smallest id with its text."""
+def _pairs(docs: DataFrame, id_col: str, text_col: str, digest) -> tuple[DataFrame, DataFrame, bool]:
+    """(id, keep_id, digest) of the copies, the texts they come from, and whether any digest is shared by different texts."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")).where("id is not null and content is not null").withColumn("digest", digest(F.col("content")))
     members = texts.select("digest", "id")
     groups, collided = _groups(members, texts)
     single = groups.where("contents = 1 and copies > 1")
-    pairs = members.join(single.select("digest", "keep_id"), "digest").select("id", "keep_id")
+    pairs = members.join(single.select("digest", "keep_id"), "digest").select("id", "keep_id", "digest")
     if collided is not None:
-        pairs = pairs.unionAll(texts.join(collided, ["digest", "content"]).select("id", "keep_id"))
-    return pairs.where("id <> keep_id").distinct().select(F.col("id").alias("doc_id"), "keep_id")
+        pairs = pairs.unionAll(texts.join(collided, ["digest", "content"]).select("id", "keep_id", "digest"))
+    return pairs.where("id <> keep_id").distinct(), texts, collided is not None
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=F.md5) -> DataFrame:
+    """Rows (doc_id, keep_id): each document that is a byte-for-byte copy, and the smallest id with its text."""
+    return _pairs(docs, id_col, text_col, digest)[0].select(F.col("id").alias("doc_id"), "keep_id").distinct()
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=F.md5) -> DataFrame:
@@ -48,24 +53,24 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     key = unused(docs, "content_digest")
     keyed = docs.withColumn(key, digest(F.col(text_col)))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")).where("id is not null and content is not null").withColumn("digest", digest(F.col("content")))
-    pairs = store(exact_duplicates(docs, id_col, text_col, digest), "copies")
+    found, texts, collided = _pairs(docs, id_col, text_col, digest)
+    pairs = store(found, "copies")
     rows = pairs.count()
-    # an id may also carry other texts, so a row is dropped by id and digest
-    out = pairs.select(F.col("doc_id").alias(id_col)).distinct()
     twice = store(texts.groupBy("digest", "id").agg(F.count("*").alias("n")).where("n > 1").select("digest", "id"), "twice")
     again = twice.count()
-    if not again:
-        return keyed.join(small(out, rows), id_col, "left_anti").drop(key).select(*docs.columns)
+    if not again and not collided:
+        # an id may also carry other texts, so a row goes by id and digest
+        out = pairs.select(F.col("id").alias(id_col), F.col("digest").alias(key)).distinct()
+        return keyed.join(small(out, rows), [id_col, key], "left_anti").select(*docs.columns)
     keep = _first_of_copies(keyed, pairs, twice, id_col, text_col, key, again, rows)
     return keep.select(*docs.columns)
 
 
 def _first_of_copies(keyed: DataFrame, pairs: DataFrame, twice: DataFrame, id_col: str, text_col: str, key: str, again: int, rows: int) -> DataFrame:
-    """Where ids repeat: the ids concerned go through a window over their texts, all other rows through the anti join."""
+    """Where ids repeat or digests collide: the ids concerned go through a window over their texts, all other rows through the anti join."""
     from pyspark.sql import Window
 
-    ids = store(twice.select("id").unionAll(pairs.select(F.col("doc_id"))).unionAll(pairs.select("keep_id")).distinct(), "ids").select(F.col("id").alias(id_col))
+    ids = store(twice.select("id").unionAll(pairs.select("id")).unionAll(pairs.select("keep_id")).distinct(), "ids").select(F.col("id").alias(id_col))
     n = again + 2 * rows
     rest = keyed.join(small(ids, n), id_col, "left_anti")
     own = keyed.join(small(ids, n), id_col, "left_semi")

@@ -44,6 +44,11 @@ def test_exact_repeated_rows_without_copies(spark):
     assert sorted(r[0] for r in exact_dedup.drop_exact_duplicates(docs_of(spark, rows)).collect()) == [1, 2]
 
 
+def test_exact_drop_goes_by_row_not_by_id(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c")]
+    assert sorted((r[0], r[1]) for r in exact_dedup.drop_exact_duplicates(docs_of(spark, rows)).collect()) == [(1, "a"), (2, "b"), (4, "c")]
+
+
 @pytest.mark.parametrize("operator", [exact_dedup.exact_duplicates, exact_dedup.drop_exact_duplicates, simhash.near_duplicates, simhash.drop_near_duplicates, substring_dedup.repeats])
 def test_empty_table(spark, operator):
     assert operator(docs_of(spark, [])).count() == 0
