@@ -20,6 +20,7 @@ from spanloom.functions.hashing import STOP_HASH, family, linear_hash_array
 SCHEMA = "h int, token int, doc_id long, l int, c int, r int"
 _LOW = np.iinfo(np.int64).min
 _BATCH = 1 << 17
+MOST_WANTED = 1_000_000
 
 
 def spans(values: np.ndarray, centers: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,16 +94,20 @@ def _generate(k: int, t: int, first_seed: int, stopwords: np.ndarray, wanted: di
     return run
 
 
-def compact_windows(docs: DataFrame, k: int, t: int, stopwords: list[int] | None = None, first_seed: int = 1, wanted: DataFrame | None = None, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+def compact_windows(docs: DataFrame, k: int, t: int, stopwords: list[int] | None = None, first_seed: int = 1, wanted: DataFrame | None = None, id_col: str = "doc_id", tokens_col: str = "tokens", most_wanted: int = MOST_WANTED) -> DataFrame:
     """(h, token, doc_id, l, c, r) of documents (id, tokens ARRAY<INT>).
 
-    wanted (h, token): only windows of these lists, for searches without a stored index; it's collected, being as small as
-    the queries are. Null ids and null arrays have no windows.
+    wanted (h, token): only windows of these lists, for searches without a stored index. Up to MOST_WANTED lists are looked up
+    in the generator; more are joined to its output. Null ids and null arrays have no windows.
     """
     lists = None
     if wanted is not None:
+        wanted = wanted.select("h", "token").distinct()
+        if wanted.count() > most_wanted:
+            every = compact_windows(docs, k, t, stopwords, first_seed, None, id_col, tokens_col)
+            return every.join(wanted, ["h", "token"], "left_semi").select(*every.columns)
         lists = {}
-        for row in wanted.select("h", "token").distinct().collect():
+        for row in wanted.collect():
             lists.setdefault(row["h"], []).append(row["token"])
         lists = {h: np.array(sorted(x), np.int64) for h, x in lists.items()}
     run = _generate(k, t, first_seed, np.array(sorted(stopwords or []), np.int64), lists)
@@ -111,7 +116,7 @@ def compact_windows(docs: DataFrame, k: int, t: int, stopwords: list[int] | None
 
 def compact_windows_sql(placed: DataFrame, functions: DataFrame, t: int, stopwords: DataFrame | None = None) -> DataFrame:
     """The same from (doc_id, pos, token) by a self-join: quadratic in a document's length, for checks and short texts."""
-    stop = placed.withColumn("stop", F.lit(False)) if stopwords is None else placed.join(F.broadcast(stopwords.select("token").distinct().withColumn("stop", F.lit(True))), "token", "left")
+    stop = placed.withColumn("stop", F.lit(False)) if stopwords is None else placed.join(stopwords.select("token").distinct().withColumn("stop", F.lit(True)), "token", "left")
     raw = F.pmod(F.col("a") * F.col("token") + F.col("b") + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
     hashed = stop.crossJoin(F.broadcast(functions)).select("doc_id", "pos", "token", "h", F.when(F.coalesce("stop", F.lit(False)), F.lit(STOP_HASH)).otherwise(raw).alias("v"))
     other = hashed.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("pos").alias("p"), F.col("v").alias("w"))
@@ -134,7 +139,7 @@ def merged(l1, r1, l2, r2):
 
 def stopword_violations(windows: DataFrame, stopwords: DataFrame) -> int:
     """Windows of stopwords: there must be none."""
-    return windows.join(F.broadcast(stopwords.select("token").distinct()), "token", "left_semi").count()
+    return windows.join(stopwords.select("token").distinct(), "token", "left_semi").count()
 
 
 def checked(windows: DataFrame, stopwords: DataFrame) -> DataFrame:

@@ -66,6 +66,7 @@ def test_wanted_lists_and_sql_form(spark):
     every = sorted(map(tuple, compact_windows(docs, 2, 3).collect()))
     wanted = spark.createDataFrame([(0, 3), (1, 7), (1, 99)], "h int, token int")
     assert sorted(map(tuple, compact_windows(docs, 2, 3, wanted=wanted).collect())) == [w for w in every if w[:2] in {(0, 3), (1, 7)}]
+    assert sorted(map(tuple, compact_windows(docs, 2, 3, wanted=wanted, most_wanted=1).collect())) == [w for w in every if w[:2] in {(0, 3), (1, 7)}]
     placed = docs.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
     columns = ["h", "token", "doc_id", "l", "c", "r"]
     assert sorted(map(tuple, compact_windows_sql(placed, family_table(spark, 2), 3).select(columns).collect())) == every
