@@ -37,7 +37,7 @@ BLOCK = 25
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 
 
 def spaced(text):
@@ -81,7 +81,7 @@ def _windows(parts: int, length: int, choose=None):
         for batch in batches:
             ids = np.asarray(batch.column(0), np.int64)
             text, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 begins, ends, at = word_ranges(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 sums = RangeHash(text[offsets[a] : offsets[b]])
                 if choose is None:
@@ -137,13 +137,18 @@ def _hits(length: int, block: int | None):
             return
         ids, positions, hashes = np.concatenate(ids), np.concatenate(positions), np.concatenate(hashes)
         # a pass over the hashes alone leaves what occurs twice: most windows occur once
-        order = hashes.astype(np.uint64) << np.uint64(32) | np.arange(len(hashes), dtype=np.uint64)
+        order = hashes.astype(np.uint64)
+        del hashes
+        order <<= np.uint64(32)
+        order |= np.arange(len(order), dtype=np.uint32)
         order.sort()
-        value, at = order >> np.uint64(32), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        same = value[1:] == value[:-1]
-        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        value, at = value[twice], at[twice]
-        del order, same, twice
+        high = order.view(np.uint32)[1::2]
+        same = high[1:] == high[:-1]
+        twice = np.concatenate([same, [False]])
+        twice[1:] |= same
+        order = order[twice]
+        value, at = (order >> np.uint64(32)).astype(np.uint32), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del order, high, same, twice
         ids, positions = ids[at], positions[at]
         order = np.lexsort((positions, ids, value))
         value, ids, positions = value[order], ids[order], positions[order]
@@ -211,8 +216,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     met = places.groupBy("id").agg(F.collect_set("at").alias("at"))
     covered = first.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("words")).alias("end")))).alias("covered"))
     own = store(met.join(covered, "id", "left"), "met")
-    rows = own.count()
-    again = texts.join(small(own, rows, 512), "id").select("id", "t", "at", "covered")
+    # the ids alone are a small side; with it only these documents' texts are shuffled
+    again = texts.join(small(own.select("id"), own.count(), 32), "id", "left_semi").join(own.hint("merge"), "id").select("id", "t", "at", "covered")
     longer = _places(again, _windows(partitions(docs.sparkSession), least, _uncovered(block, least)), _hits(least, None))
     return first.unionAll(_maximal(longer, texts, block, least, least)).distinct()
 
@@ -253,6 +258,6 @@ def _maximal(places: DataFrame, texts: DataFrame, block: int, length: int, least
     runs = runs.groupBy("id", "ref", "shift", "run").agg(F.min("at").alias("begin"), (F.max("at") + length).alias("end"))
     pairs = store(runs.groupBy("id", "ref").agg(F.collect_list(F.struct("begin", "end", "shift")).alias("runs")), "runs")
     needed = store(pairs.select("id").unionAll(pairs.select("ref")).distinct(), "needed")
-    bodies = texts.join(small(needed, needed.count()), "id", "left_semi").groupBy("id").agg(F.max("t").alias("t"))
+    bodies = texts.join(small(needed, needed.count(), 32), "id", "left_semi").groupBy("id").agg(F.max("t").alias("t"))
     joined = pairs.join(bodies.withColumnRenamed("t", "a"), "id").join(bodies.select(F.col("id").alias("ref"), F.col("t").alias("b")), "ref")
     return joined.select("id", "ref", "runs", "a", "b").mapInArrow(_extend(block, least), "doc_id long, start int, words int, ref_id long, ref_start int")
