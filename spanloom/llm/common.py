@@ -39,7 +39,7 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+def small(df: DataFrame, rows: int, row_bytes: int = 160) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes is within BROADCAST_BYTES, else df as it is, to be joined by a shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 

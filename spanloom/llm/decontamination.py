@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import unused, utf8
+from spanloom.llm.common import pieces, unused, utf8
 
 NGRAM = 10
 LEAST_WORDS = 5
@@ -138,7 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for searcher, owners in _searcher(_items(benchmark, item_col, item_text_col), ngram, least_words, shard_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], searcher=searcher, owners=owners) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches, 1024):
                 ids = batch.column(0).to_pylist()
                 rows = {(ids[row], item, pattern) for row, pattern, _ in _hits(batch.column(1), searcher) for item in owners[pattern]}
                 if rows:
@@ -159,7 +159,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     for searcher, _ in _searcher(_items(benchmark, item_col, item_text_col), ngram, least_words, shard_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches, 1024):
                 keep = np.ones(batch.num_rows, bool)
                 for row, _, _ in _hits(batch.column(batch.num_columns - 1), searcher):
                     keep[row] = False

@@ -161,4 +161,4 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
     plan = store(plan.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("copies")), "mixture")
     kept = docs.select(*(c for c in docs.columns if c.lower() != "copies"))
     on = (kept[id_col].cast("long") == plan[i]) & kept[source_col].cast("string").eqNullSafe(plan[s])
-    return kept.join(small(plan, plan.count(), 48), on).select(*(kept[c] for c in kept.columns), "copies")
+    return kept.join(small(plan, plan.count()), on).select(*(kept[c] for c in kept.columns), "copies")
