@@ -48,7 +48,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_pairs(_table(spark, sf_dir, "documents"))
 
 
 def op10_captures(spark: SparkSession, sf_dir: str) -> DataFrame:

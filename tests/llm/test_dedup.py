@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, simhash, substring_dedup
+from spanloom.llm import exact_dedup, queries, simhash, substring_dedup
 
 SCHEMA = "doc_id long, text string, keep_id long, source string"
 
@@ -98,6 +98,25 @@ def test_simhash_edges(spark):
     assert kept == sorted([1, 1, 3, 4, 5, 6, None], key=str)
 
 
+def test_simhash_pairs_of_copies(spark):
+    rng = random.Random(4)
+    rows = near_corpus(6, 20)
+    rows += [(len(rows) + k, " ".join(rng.sample(t.split(), len(t.split()))).upper()) for k, (_, t) in enumerate(rows * 2)]  # reordered copies: equal fingerprints
+    rows += [(3, rows[9][1]), (3, rows[9][1])]  # a second text of an id
+    got = [tuple(r) for r in simhash.near_pairs(docs_of(spark, rows)).collect()]
+    want: dict[tuple[int, int], int] = {}
+    texts = [(k, t) for k, (_, t) in enumerate(rows)]
+    for (x, y), d in brute_near(texts).items():
+        a, b = sorted((rows[x][0], rows[y][0]))
+        if a != b:
+            want[a, b] = min(d, want.get((a, b), d))
+    assert len(got) == len({p[:2] for p in got}) and all(want[a, b] == d for a, b, d in got)
+    assert len(got) >= 0.9 * len(want) > 100
+    assert {p for p, d in want.items() if d <= 3 * simhash.WORDS - 1} <= {p[:2] for p in got}
+    # the query is the one that has all pairs
+    assert "near_pairs" in queries.op9_simhash.__code__.co_names
+
+
 def test_words_never_span_texts():
     data = np.frombuffer(b"abcabc", np.uint8)
     hashes, at = simhash.word_hashes(data, np.array([0, 3, 6]))
