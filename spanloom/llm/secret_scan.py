@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 REACH = 200
 LEAST_ENTROPY = 3.0
 
+#: A name goes on after its keyword (SECRET_KEY, passwordHash), or begins anew before it (DB_USER, db.user, dbUser).
+_AFTER = r"[A-Za-z0-9_.-]{0,40}"
+_BEFORE = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))"
+
 #: (kind, rule, strong, pattern, signs): group "v" or else the whole match is the part; any text that matches has one of the signs.
 RULES = [
     ("secret", "private_key", True, re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----)?"), ("PRIVATE KEY-----",)),
@@ -34,14 +38,15 @@ RULES = [
     ("secret", "google_key", True, re.compile(r"\bAIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), ("AIza",)),
     ("secret", "stripe_key", True, re.compile(r"\b[rs]k_live_[0-9A-Za-z]{16,}\b"), ("k_live_",)),
     ("secret", "jwt", True, re.compile(r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"), ("eyJ",)),
-    ("secret", "assigned", False, re.compile(r"(?i:\b(?:secret|token|password|passwd|pwd|api[_-]?key|secret[_-]?key|access[_-]?token|auth)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{8,})"), ("=", ":")),
-    ("secret", "random_string", False, re.compile(r"(?<![\w/+=-])(?P<v>(?=[\w/+-]{0,80}[0-9])(?=[\w/+-]{0,80}[A-Za-z])[A-Za-z0-9/+_-]{32,88}={0,2})(?![\w/+=-])"), "0123456789"),
+    ("secret", "url_password", True, re.compile(r"://[^\s/:@\"'<>]{0,64}:(?P<v>[^\s/@\"'<>]{1,128})@(?=[\w\[])"), ("://",)),
+    ("secret", "assigned", False, re.compile(rf"(?:(?i:secret(?!ar|ion|ive)|token(?!i[sz])|password|passwd|pwd|api[_-]?key){_AFTER}|{_BEFORE}(?i:auth)(?![A-Za-z]))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<v>[^\s\"',;]{{8,}})"), ("=", ":")),
+    ("secret", "random_string", False, re.compile(r"(?<![\w/+-])(?P<v>(?=[\w/+-]{0,80}[0-9])(?=[\w/+-]{0,80}[A-Za-z])[A-Za-z0-9/+_-]{32,88}={0,2})(?![\w/+=-])"), "0123456789"),
     ("identifier", "aws_access_key_id", False, re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"), ("AKIA", "ASIA")),
     ("identifier", "oauth_client", False, re.compile(r"\b[0-9]{6,}-[a-z0-9]{20,}\.apps\.[a-z]+\.com\b"), (".apps.",)),
-    ("identifier", "account", False, re.compile(r"(?i:\b(?:user(?:name)?|login|client[_-]?id|account[_-]?id|access[_-]?key[_-]?id)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,64})"), ("=", ":")),
+    ("identifier", "account", False, re.compile(_BEFORE + r"(?i:(?:user(?:name)?|login|client[_-]?id|account[_-]?id|access[_-]?key[_-]?id)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,64})"), ("=", ":")),
     ("identifier", "email", False, re.compile(r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,4}\b"), ("@",)),
     ("endpoint", "url", False, re.compile(r"\b(?:https?|wss?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]{3,300}"), ("://",)),
-    ("endpoint", "host", False, re.compile(r"(?i:\b(?:host(?:name)?|endpoint|server|base[_-]?url)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,253})"), ("=", ":")),
+    ("endpoint", "host", False, re.compile(_BEFORE + r"(?i:(?:host(?:name)?|endpoint|server|base[_-]?url)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,253})"), ("=", ":")),
     ("endpoint", "address", False, re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\w.])"), "0123456789"),
 ]
 
