@@ -24,7 +24,7 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.linked_secrets(_table(spark, sf_dir, "documents"))
+    return secret_scan.document_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scans with multipart credential linking.
 
 Parts are found by pattern: access identifiers, secrets and endpoints, each at an interval of characters of its document.
-A scope is a stretch of `reach` characters around a secret. An interval join on document and buckets of `reach` characters brings
-together the parts whose intervals are within one scope. A strong secret (whose form alone tells, such as a private key
+A scope is the whole document (`document_secrets`), where distances rank the company, or a stretch of `reach` characters around a
+secret (`linked_secrets`): an interval join on document and buckets of `reach` characters brings together the parts whose intervals
+are within one scope. A strong secret (whose form alone tells, such as a private key
 block) is always reported; a weak one (a random-looking string) only when an identifier or an endpoint is in its scope.
 Of several, the nearest is named (before wins a tie) and all are counted.
 
@@ -105,3 +106,26 @@ def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce("identifiers", F.lit(0)).alias("identifiers"), F.col("i.o_rule").alias("identifier_rule"), F.col("i.o_begin").alias("identifier_begin"),
         F.coalesce("endpoints", F.lit(0)).alias("endpoints"), F.col("e.o_rule").alias("endpoint_rule"), F.col("e.o_begin").alias("endpoint_begin"),
     )
+
+
+def document_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_entropy: float = LEAST_ENTROPY) -> DataFrame:
+    """Rows as linked_secrets has them, with identifier_distance and endpoint_distance; the scope of a secret is its whole document.
+
+    The parts of a document come together as one row, so a document of m secrets and n others costs no m * n rows.
+    """
+    place = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.struct("begin", "end", "rule")))
+    found = parts(docs, id_col, text_col, least_entropy)
+    secret = F.collect_set(F.when(F.col("kind") == "secret", F.struct("begin", "end", "rule", "strong", "digest")))
+    each = found.groupBy("id").agg(secret.alias("s"), place("identifier").alias("i"), place("endpoint").alias("e")).select("id", F.explode("s").alias("s"), "i", "e").where("s.strong or size(i) > 0 or size(e) > 0")
+
+    def nearest(kind: str):
+        distance = lambda o: F.greatest(o["begin"] - F.col("s.end"), F.col("s.begin") - o["end"], F.lit(0))
+        return F.array_min(F.transform(kind, lambda o: F.struct(distance(o).alias("distance"), o["begin"].alias("begin"), o["rule"].alias("rule"))))
+
+    out = each.select("id", "s", F.size("i").cast("long").alias("identifiers"), nearest("i").alias("i"), F.size("e").cast("long").alias("endpoints"), nearest("e").alias("e"))
+    return out.select(
+        F.col("id").alias("doc_id"), "s.begin", "s.end", "s.rule", "s.strong", "s.digest",
+        "identifiers", F.col("i.rule").alias("identifier_rule"), F.col("i.begin").alias("identifier_begin"),
+        "endpoints", F.col("e.rule").alias("endpoint_rule"), F.col("e.begin").alias("endpoint_begin"),
+        F.col("i.distance").alias("identifier_distance"), F.col("e.distance").alias("endpoint_distance"),
+    )

@@ -1,5 +1,6 @@
 import random
 
+from spanloom.llm import queries
 from spanloom.llm import secret_scan as s
 
 DOCS = "doc_id long, text string, rule string, begin string"
@@ -58,6 +59,19 @@ def test_interval_join_equals_brute_force(spark):
         assert len(want) > 50 and got == want
 
 
+def test_query_links_over_the_whole_document(spark, tmp_path):
+    rng = random.Random(9)
+    bits = [lambda: f"token={rng.getrandbits(160):040x}", lambda: f"u{rng.randrange(99)}@mail.org", lambda: "https://h.example/" + "p" * rng.randrange(90), lambda: "xoxb-" + "".join(rng.choices("abc123", k=12)), lambda: "w " * rng.randrange(900)]
+    rows = [(i, " ".join(rng.choice(bits)() for _ in range(rng.randrange(12)))) for i in range(80)] + [(90, f"a@b.org{' filler' * 100_000} token={HEX}"), (91, None), (None, f"a@b.org token={HEX}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["begin"], r["end"], r["rule"]): r for r in queries.op3_secrets(spark, str(tmp_path)).collect()}
+    want = brute([(i, t) for i, t in rows if i is not None and t], 1 << 40)
+    assert {k: (r["identifiers"], r["identifier_rule"], r["identifier_begin"], r["endpoints"], r["endpoint_rule"], r["endpoint_begin"]) for k, r in got.items()} == want
+    assert len(want) > len(brute([(i, t) for i, t in rows if i is not None and t], s.REACH)) > 20
+    far = next(r for r in got.values() if r["doc_id"] == 90)
+    assert far["identifier_distance"] > 600_000 and far["endpoint_distance"] is None
+
+
 def test_signs_never_hide_a_match():
     samples = [HEX + " a1", "user: bob12", "host=db.x", "jdbc:mysql://h/x", "1.2.3.4:80", "a@b.co", "AIza" + "a1" * 17 + "b", "sk_live_" + "a1" * 9, "eyJabcdefgh.eyJabcdefgh.abcdefgh", "123456-abcdefghijklmnopqrst.apps.provider.com", "xoxp-1234567890", "ASIA" + "A1" * 8, "ghs_" + "a" * 36]
     for kind, rule, strong, pattern, signs in s.RULES:
