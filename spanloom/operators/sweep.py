@@ -1,26 +1,150 @@
 """Sweeps over rectangles: windows (query_id, doc_id, l, c, r) as [l, c] x [c, r] in (begin, end) space.
 
-Plain joins within a (query, document) and window functions; groups that can't reach the threshold should be left out before.
+One exchange brings the windows of a (query, document) together, in order; numpy sweeps each such group, which a document's
+length bounds, over its sorted begins and ends. Covers of ends are kept in blocks of about the square root of their number, each with
+its maximum, so an event costs O(sqrt n). The same as joins and window functions is in max_cover_sql and all_rectangles_sql,
+quadratic and worse in a group, for checks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["query_id", "doc_id"]
 
 
+class Cover:
+    """How many intervals lie over each of n points."""
+
+    def __init__(self, n: int):
+        self.width = w = max(1, int(n**0.5))
+        self.counts = np.zeros((-(-n // w), w), np.int32)
+        self.whole = np.zeros(len(self.counts), np.int32)  # added to all points of a block
+        self.most = np.zeros(len(self.counts), np.int32)
+        self.counts.ravel()[n:] = np.iinfo(np.int32).min // 2
+
+    def add(self, begin: int, end: int, by: int) -> None:
+        """Points begin to end - 1."""
+        w = self.width
+        first, last = begin // w, (end - 1) // w
+        if first == last:
+            self._part(first, begin - first * w, end - first * w, by)
+            return
+        self._part(first, begin - first * w, w, by)
+        self._part(last, 0, end - last * w, by)
+        self.whole[first + 1 : last] += by
+
+    def _part(self, block: int, begin: int, end: int, by: int) -> None:
+        self.counts[block, begin:end] += by
+        self.most[block] = self.counts[block].max()
+
+    def best(self) -> tuple[int, int]:
+        """The greatest count, and the last point that has it."""
+        most = self.most + self.whole
+        top = int(most.max())
+        block = int(np.flatnonzero(most == top)[-1])
+        return top, block * self.width + int(np.flatnonzero(self.counts[block] == top - self.whole[block])[-1])
+
+
+def best_covers(l: np.ndarray, c: np.ndarray, r: np.ndarray, least: int) -> list[tuple[int, int, int]]:  # noqa: E741
+    """(begin of a strip, greatest cover, last end that has it), where the cover is at least `least`."""
+    ends = np.unique(r)
+    first, last = np.searchsorted(ends, c), np.searchsorted(ends, r) + 1
+    at = np.concatenate([l, c + 1])
+    order = np.argsort(at, kind="stable").tolist()
+    cover, out, n, active = Cover(len(ends)), [], len(l), 0
+    for k, e in enumerate(order):
+        by = 1 if e < n else -1
+        cover.add(int(first[e % n]), int(last[e % n]), by)
+        active += by
+        pos = int(at[e])
+        if active >= least and (k + 1 == 2 * n or at[order[k + 1]] != pos):
+            top, y = cover.best()
+            if top >= least:
+                out.append((pos, top, int(ends[y])))
+    return out
+
+
+def cells(l: np.ndarray, c: np.ndarray, r: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:  # noqa: E741
+    """(begin, end, cover, spans) of every cell of begins and ends over which at least `least` windows lie."""
+    points, out = np.unique(np.concatenate([l, c + 1])), []
+    for pos, nx in zip(points[:-1].tolist(), points[1:].tolist()):
+        own = (l <= pos) & (c >= pos)
+        if np.count_nonzero(own) < least:
+            continue
+        ys = np.unique(np.concatenate([c[own], r[own] + 1]))
+        step = np.bincount(np.searchsorted(ys, c[own]), minlength=len(ys)) - np.bincount(np.searchsorted(ys, r[own] + 1), minlength=len(ys))
+        counts = np.cumsum(step)[:-1]
+        for i in np.flatnonzero(counts >= least).tolist():
+            out.append((pos, int(ys[i + 1]) - 1, int(counts[i]), (nx - pos) * int(ys[i + 1] - ys[i])))
+    return out
+
+
+def _swept(windows: DataFrame, least: int, sweep: Callable, schema: str, names: list[str], types: list) -> DataFrame:
+    def group(key: tuple[int, int], parts: list[np.ndarray]) -> list[tuple]:
+        own = np.concatenate(parts)
+        return [(*key, *row) for row in sweep(own[:, 0], own[:, 1], own[:, 2], least)] if len(own) >= least else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, d = (np.asarray(batch.column(k)) for k in (0, 1))
+            rows = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in (2, 3, 4)], axis=1)
+            cuts = [0, *(np.flatnonzero((q[1:] != q[:-1]) | (d[1:] != d[:-1])) + 1).tolist(), len(q)]
+            for a, b in zip(cuts, cuts[1:]):
+                key = (int(q[a]), int(d[a]))
+                if key != now:
+                    if now is not None:
+                        out += group(now, held)
+                    now, held = key, []
+                held.append(rows[a:b])
+                if len(out) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+                    out = []
+        if now is not None:
+            out += group(now, held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+
+    own = windows.select(*KEY, "l", "c", "r").where("query_id is not null and doc_id is not null")
+    return own.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, schema)
+
+
+def max_cover(windows: DataFrame, least: int) -> DataFrame:
+    """(query_id, doc_id, l, n_collide, r): for each strip of begins the greatest number of windows over one end, if at least
+    `least`, and the last end that has it. Null ids are left out; repeated windows count each."""
+    names, types = [*KEY, "l", "n_collide", "r"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return _swept(windows, least, best_covers, "query_id long, doc_id long, l int, n_collide int, r int", names, types)
+
+
+def all_rectangles(windows: DataFrame, least: int) -> DataFrame:
+    """(query_id, doc_id, l, r, n_collide, area): every cell of begins and ends over which at least `least` windows lie;
+    (l, r) is its first begin and last end, area its number of spans."""
+    names, types = [*KEY, "l", "r", "n_collide", "area"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    return _swept(windows, least, cells, "query_id long, doc_id long, l int, r int, n_collide int, area long", names, types)
+
+
+def covered_area(rectangles: DataFrame) -> DataFrame:
+    """(query_id, doc_id, spans): how many spans of the document match."""
+    return rectangles.groupBy(*KEY).agg(F.sum("area").alias("spans"))
+
+
 def _strips(windows: DataFrame) -> DataFrame:
     """Windows by strip (pos, nx): between successive begins or ends of windows, those that are active there."""
-    points = windows.select(*KEY, F.col("l").alias("pos")).unionAll(windows.select(*KEY, F.col("c") + 1)).distinct()
+    points = windows.select(*KEY, F.explode(F.array(F.col("l"), F.col("c") + 1)).alias("pos")).distinct()
     strips = points.withColumn("nx", F.lead("pos").over(Window.partitionBy(*KEY).orderBy("pos"))).where("nx is not null")
     return strips.join(windows, KEY).where("l <= pos and c >= pos").select(*KEY, "pos", "nx", "c", "r")
 
 
-def max_cover(windows: DataFrame, least: int) -> DataFrame:
-    """(query_id, doc_id, l, n_collide, r): for each strip of begins the greatest number of windows over one end, if at least
-    `least`, and the last end that has it."""
+def max_cover_sql(windows: DataFrame, least: int) -> DataFrame:
+    """max_cover by joins."""
     active = _strips(windows.select(*KEY, "l", "c", "r"))
     ends = active.select(*KEY, "pos", F.col("r").alias("y")).distinct()
     counts = ends.join(active, [*KEY, "pos"]).where("c <= y and r >= y").groupBy(*KEY, "pos", "y").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -28,17 +152,11 @@ def max_cover(windows: DataFrame, least: int) -> DataFrame:
     return best.select(*KEY, F.col("pos").cast("int").alias("l"), F.col("m.n").cast("int").alias("n_collide"), F.col("m.y").cast("int").alias("r"))
 
 
-def all_rectangles(windows: DataFrame, least: int) -> DataFrame:
-    """(query_id, doc_id, l, r, n_collide, area): every cell of begins and ends over which at least `least` windows lie;
-    (l, r) is its first begin and last end, area its number of spans."""
+def all_rectangles_sql(windows: DataFrame, least: int) -> DataFrame:
+    """all_rectangles by joins."""
     active = _strips(windows.select(*KEY, "l", "c", "r"))
-    points = active.select(*KEY, "pos", "nx", F.col("c").alias("y")).unionAll(active.select(*KEY, "pos", "nx", F.col("r") + 1)).distinct()
-    cells = points.withColumn("ny", F.lead("y").over(Window.partitionBy(*KEY, "pos").orderBy("y"))).where("ny is not null")
-    counts = cells.join(active.drop("nx"), [*KEY, "pos"]).where("c <= y and r >= y").groupBy(*KEY, "pos", "nx", "y", "ny").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    points = active.select(*KEY, "pos", "nx", F.explode(F.array(F.col("c"), F.col("r") + 1)).alias("y")).distinct()
+    each = points.withColumn("ny", F.lead("y").over(Window.partitionBy(*KEY, "pos").orderBy("y"))).where("ny is not null")
+    counts = each.join(active.drop("nx"), [*KEY, "pos"]).where("c <= y and r >= y").groupBy(*KEY, "pos", "nx", "y", "ny").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     area = (F.col("nx") - F.col("pos")).cast("long") * (F.col("ny") - F.col("y"))
     return counts.select(*KEY, F.col("pos").cast("int").alias("l"), (F.col("ny") - 1).cast("int").alias("r"), F.col("n").cast("int").alias("n_collide"), area.alias("area"))
-
-
-def covered_area(rectangles: DataFrame) -> DataFrame:
-    """(query_id, doc_id, spans): how many spans of the document match."""
-    return rectangles.groupBy(*KEY).agg(F.sum("area").alias("spans"))

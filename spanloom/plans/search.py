@@ -12,9 +12,6 @@ from spanloom.functions.hashing import family_table, linear_hash
 from spanloom.operators.sweep import max_cover
 from spanloom.session import materialise
 
-#: Matches of a chunk are few; what is broadcast are the queries' least tokens, up to this many rows, else they shuffle.
-BROADCAST_ROWS = 500_000
-
 
 def query_chunks(placed: DataFrame, length: int, id_col: str = "item_id") -> DataFrame:
     """(id, chunk, query_id, pos, token): whole chunks of `length` tokens; what is left at the end is dropped.
@@ -82,17 +79,15 @@ def exhaustive(signatures: DataFrame, windows: DataFrame, config: SearchConfig,
     config = config.effective()
     index = windows.groupBy("h", "token").agg(F.count("*").alias("n")) if index is None else index
     ranked = materialise(ranked_lists(signatures, index, count), "lists")
-    hint = F.broadcast if ranked.count() <= BROADCAST_ROWS else (lambda x: x)
-    first = _kept(_met(hint(ranked.where(F.col("place") <= config.prefix).select("query_id", "h", "token")), windows), config.prefix_matches)
-    first = materialise(first, "prefix")
+    first = materialise(_met(ranked.where(F.col("place") <= config.prefix).select("query_id", "h", "token"), windows), "prefix")
     covers = max_cover(first, config.prefix_matches).groupBy("query_id", "doc_id").agg(F.max("n_collide").alias("n_prefix"))
     if config.prefix >= config.k:
         met = first
     else:
         covers = materialise(covers, "candidates")
-        rest = _met(hint(ranked.where(F.col("place") > config.prefix).select("query_id", "h", "token")), windows)
-        met = first.unionByName(rest).join(covers.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    return Found(max_cover(_kept(met, config.matches), config.matches), covers)
+        # one read of all lists, for candidates alone: no union of what was read before with the rest
+        met = _met(ranked.select("query_id", "h", "token"), windows).join(covers.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    return Found(max_cover(met, config.matches), covers)
 
 
 def once(found: Found) -> DataFrame:

@@ -74,6 +74,9 @@ def test_sweeps_against_brute_force(spark, seed):
         groups[q, d].append(tuple(w))
     df = spark.createDataFrame(rows, W)
     for least in (1, 2, 4):
+        for one, other in ((sweep.max_cover, sweep.max_cover_sql), (sweep.all_rectangles, sweep.all_rectangles_sql)):
+            a, b = one(df, least), other(df, least)
+            assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
         got = defaultdict(list)
         for r in sweep.max_cover(df, least).collect():
             got[r["query_id"], r["doc_id"]].append((r["l"], r["n_collide"], r["r"]))
@@ -174,3 +177,41 @@ def test_reports(spark):
     for r in report.match_passages(report.longest_match(m), docs).collect():
         assert r["passage"] == list(range(100 * r["doc_id"] + r["l"], 100 * r["doc_id"] + r["r"] + 1))
     assert tuple(report.totals(m, m).first()) == (6, 6, len(rows))
+
+
+def test_a_sweep_of_many_windows():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    c = rng.integers(0, 3000, 400)
+    l, r = np.maximum(c - rng.integers(0, 300, 400), 0), c + rng.integers(0, 300, 400)  # noqa: E741
+    for least in (3, 20):
+        assert sweep.best_covers(l, c, r, least) == brute_rows_fast(l, c, r, least)
+
+
+def brute_rows_fast(l, c, r, least):  # noqa: E741
+    out = []
+    for pos in sorted({*l.tolist(), *(c + 1).tolist()})[:-1]:
+        own = (l <= pos) & (pos <= c)
+        best = max(((int(np_sum), y) for y in set(r[own].tolist()) for np_sum in [((c <= y) & (r >= y) & own).sum()]), default=(0, 0))
+        if best[0] >= least:
+            out.append((pos, *best))
+    return out
+
+
+def test_search_where_plans_mix_kinds_of_join(spark):
+    """Adaptive plans that broadcast one side and sort-merge another, over different numbers of partitions."""
+    docs, queries = corpus(8, 40)
+    config = SearchConfig(k=10, t=4, theta=0.6, prefix_ratio=0.7)
+    rows = []
+    for threshold, parts in (("10485760", "4"), ("-1", "7"), ("2000", "13")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            sig, win = frames(spark, docs, queries, config.k, config.t)
+            found = search.exhaustive(sig, win.repartition(32), config)
+            rows.append((sorted(map(tuple, found.matches.collect())), sorted(map(tuple, search.once(found).collect()))))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert rows[0] == rows[1] == rows[2] and rows[0][0]
