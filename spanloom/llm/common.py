@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -80,6 +82,21 @@ def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def trimmed(run):
+    """run, after which the task's Python worker gives free memory back: workers are reused, and what one stage held isn't kept beside the next one's."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return of
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Short slices of the batches: what a task holds as Python objects at a time stays small."""
     for batch in batches:

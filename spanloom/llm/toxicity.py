@@ -1,139 +1,178 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
 Examples: of each class of `labels` up to `per_class` documents, those of the least hash (the only bounded sample here). Their
-dimensions are the words associated with toxicity among them: chi-square of at least `least_chi`, `least_ratio` times as frequent
-in toxic examples, in a share of at least `least_share` of those. Document frequencies of these words, and so their idf, are counted over all
-documents. A weight is (1 + ln tf) * ln((1 + N) / (1 + df)); vectors have length 1.
+dimensions are all their words; words that no example has are no dimension, as usual where a weighting is fitted. Document
+frequencies are counted over all documents. A weight is (1 + ln tf) * idf ** IDF_POWER, with idf = ln((1 + N) / (1 + df)); vectors have
+length 1. The power lets the words that few documents share decide: with 1, words of half of all documents drown them.
+Words are runs of letters, digits and "_" of the lower-case text (any character beyond ASCII counts as a letter), told apart by 64-bit hashes.
 
-Search: the postings of a word are in blocks of examples with the greatest weight in each. The sum of query weight times block
-maximum bounds every example of a block, so blocks are scored in falling order of bound until the k-th best cosine is
-beyond the next bound. The result is exact, ties by smaller example id.
+Search: examples are sorted so that like ones are near and cut into blocks. Of a word that few examples have, the postings are by block, with
+the greatest weight in each; of a word that an eighth of them have, the weights are a row, one for each example. The rows' exact sums and the
+sums of query weight times block maximum bound every example of a block. Blocks are scored in falling order of bound until the k-th
+best cosine is beyond the next bound. The result is exact (weights are single precision), ties go to the smaller example id.
 
 Vote: neighbours weigh 1 / (1.02 - cosine); the toxic share of the votes, with `doubt` votes for clean, goes through a logistic
-curve fitted to the examples themselves (each without itself) under the class shares of all labels. `threshold` applies to
-that probability. A labelled document is never its own evidence.
+curve. The curve and the number of neighbours (a power of 2) are those of the least loss over the examples themselves, each without itself and
+without the words that it alone has, under the class shares of all labels. `threshold` applies to that probability. A labelled
+document is never its own evidence.
 
 Defined results: null ids or texts are not judged; a document without any dimension has no neighbours and is clean; repeated rows of
 an id are judged each, and the highest score counts; an id labelled both ways is toxic; null labels are ignored; without toxic or
-without clean examples nothing is toxic; other columns are ignored.
+without clean examples nothing is toxic; very long texts are read whole; other columns are ignored, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import pieces, small, store
+from spanloom.llm.common import slices, small, store, trimmed, utf8
+from spanloom.llm.simhash import word_hashes
 
-PER_CLASS = 2000
-LEAST_CHI = 30.0
-LEAST_RATIO = 5.0
-LEAST_SHARE = 0.01
-NEIGHBOURS = 8
+PER_CLASS = 6000
+IDF_POWER = 2.0
+MOST_NEIGHBOURS = 512
+EVIDENCE = 8
 DOUBT = 0.5
-THRESHOLD = 0.5
-BLOCK = 32
+THRESHOLD = 0.3
+BLOCK = 64
+_SLICE = 1 << 14
 
-_TOKEN = re.compile(r"\w+")
 _SCHEMA = "doc_id long, score double, votes double, evidence array<struct<example_id: bigint, toxic: int, cosine: double>>"
 
 
-def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+def bags(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, word hashes in order, counts) of the rows of a column of lower-case texts that have any word."""
+    text, offsets = utf8(column)
+    for a, b in slices(offsets, 1 << 20):
+        hashes, at = word_hashes(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for row in range(a, b):
+            own = hashes[at[row - a] : at[row - a + 1]]
+            if len(own):
+                yield row, *np.unique(own, return_counts=True)
 
 
-def is_associated(seen: int, toxic: int, n0: int, n1: int, least_chi: float = LEAST_CHI, least_ratio: float = LEAST_RATIO, least_share: float = LEAST_SHARE) -> bool:
-    """Whether a word in `seen` of n0 clean and n1 toxic examples, `toxic` of them toxic, is associated with toxicity."""
-    if not n0 or not n1 or seen >= n0 + n1 or toxic < max(2, least_share * n1):
-        return False
-    high, low, p = toxic / n1, (seen - toxic) / n0, seen / (n0 + n1)
-    return high >= least_ratio * low and (high - low) ** 2 / (p * (1 - p)) * n0 * n1 / (n0 + n1) >= least_chi
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    n = end - begin
+    return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
 
 
 class BlockMax:
-    """Postings of unit vectors, by dimension and block of examples."""
-
-    def __init__(self, ids: list[int], toxic: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], dims: int):
-        # examples with like dimensions side by side make the block maxima tight
-        order = sorted(range(len(ids)), key=lambda i: (len(vectors[i][0]) == 0, vectors[i][0][np.argsort(-vectors[i][1])].tolist()[:3], ids[i]))
-        self.ids, self.toxic = np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], np.int8)
-        self.blocks = max(1, -(-len(ids) // BLOCK))
-        self.most = np.zeros((dims, self.blocks), np.float64)
-        posts: list[list[tuple[int, float]]] = [[] for _ in range(dims)]
-        for at, i in enumerate(order):
-            for d, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
-                posts[d].append((at, w))
-                self.most[d, at // BLOCK] = max(self.most[d, at // BLOCK], w)
-        self.at = [np.array([p for p, _ in x], np.int64) for x in posts]
-        self.weight = [np.array([w for _, w in x], np.float64) for x in posts]
-
-    def nearest(self, dims: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[int, int, float]]:
-        """(example id, toxic, cosine) of the k nearest with a cosine above 0; `without` is left out."""
-        bound = weights @ self.most[dims]
+    """Postings of unit vectors (dimensions in order, weights) of examples, by dimension and block of examples."""
+
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], dims: int, block: int = BLOCK):
+        n = len(ids)
+        sizes = np.array([len(d) for d, _ in vectors], np.int64)
+        word = np.concatenate([d for d, _ in vectors]) if n else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]).astype(np.float32) if n else np.zeros(0, np.float32)
+        often = np.bincount(word, minlength=dims)
+        # examples whose commonest words are the same side by side (so mostly one language) make the block maxima tight
+        first = [tuple(d[np.argsort(-often[d], kind="stable")[:3]].tolist()) for d, _ in vectors]
+        order = sorted(range(n), key=lambda i: (first[i], int(ids[i])))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
+        self.ids, self.toxic, self.often = np.asarray(ids, np.int64)[order], np.asarray(toxic, np.int8)[order], often.astype(np.int32)
+        example = np.repeat(place, sizes)
+        wide = often * 8 > n
+        self.row = np.full(dims, -1, np.int32)
+        self.row[wide] = np.arange(wide.sum())
+        self.rows = np.zeros((int(wide.sum()), n), np.float32)
+        dense = wide[word]
+        self.rows[self.row[word[dense]], example[dense]] = weight[dense]
+        word, example, weight = word[~dense], example[~dense], weight[~dense]
+        by = np.argsort(word * np.int64(max(1, n)) + example)
+        word, self.example, self.weight = word[by], example[by].astype(np.int32), weight[by]
+        self.at = np.zeros(1, np.int64)
+        if len(word):
+            new = np.concatenate([[True], (word[1:] != word[:-1]) | (self.example[1:] // block != self.example[:-1] // block)])
+            begin = np.flatnonzero(new)
+            self.most, self.of_block = np.maximum.reduceat(self.weight, begin), (self.example[begin] // block).astype(np.int32)
+            self.begin = np.concatenate([begin, [len(word)]])
+            self.at = np.searchsorted(word[begin], np.arange(dims + 1))
+        else:
+            self.most, self.of_block, self.begin, self.at = np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(dims + 1, np.int64)
+
+    def nearest(self, dims: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of examples, cosines) of the k nearest with a cosine above 0; the id `without` is left out."""
+        if not self.n or not len(dims):
+            return np.zeros(0, np.int64), np.zeros(0)
+        wide = self.row[dims] >= 0
+        cosines = (weights[wide].astype(np.float32) @ self.rows[self.row[dims[wide]]]).astype(np.float64)
+        lists, own = dims[~wide], weights[~wide]
+        size = self.at[lists + 1] - self.at[lists]
+        entry, factor = ranges(self.at[lists], self.at[lists + 1]), np.repeat(own, size)
+        padded = np.zeros(self.blocks * self.block)
+        padded[: self.n] = cosines
+        bound = (np.bincount(self.of_block[entry], self.most[entry] * factor, self.blocks) + padded.reshape(self.blocks, -1).max(axis=1)) * (1 + 1e-5)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        done, batch, cosines = 0, 4, np.zeros(len(self.ids))
-        hits: list[np.ndarray] = []
-        worst = 0.0
-        while done < len(order) and (worst <= 0 or bound[order[done]] >= worst - 1e-12):
+        worst, done, batch, seen = 0.0, 0, -(-k // self.block) + 1, np.zeros(self.blocks, bool)
+        while done < len(order) and bound[order[done]] >= worst:
             now = np.zeros(self.blocks, bool)
             now[order[done : done + batch]] = True
-            done, batch = done + batch, batch * 2
-            for d, q in zip(dims.tolist(), weights.tolist()):
-                at = self.at[d]
-                sel = now[at // BLOCK]
-                own = at[sel]
-                cosines[own] += q * self.weight[d][sel]
-                hits.append(own)
-            found = np.unique(np.concatenate(hits))
+            if worst > 0:
+                now[bound < worst] = False
+            done, batch = done + batch, len(order)  # what is left after the first blocks is decided by their k-th best
+            seen |= now
+            sel = now[self.of_block[entry]]
+            some = entry[sel]
+            posts = ranges(self.begin[some], self.begin[some + 1])
+            cosines += np.bincount(self.example[posts], self.weight[posts] * np.repeat(factor[sel], self.begin[some + 1] - self.begin[some]), self.n)
+            found = np.flatnonzero(np.repeat(seen, self.block)[: self.n] & (cosines > 0))
             if without is not None:
                 found = found[self.ids[found] != without]
             if len(found) >= k:
-                worst = np.partition(cosines[found], len(found) - k)[len(found) - k]
-        if not hits:
-            return []
-        best = found[np.lexsort((self.ids[found], -np.round(cosines[found], 12)))][:k]
-        return [(int(self.ids[i]), int(self.toxic[i]), float(cosines[i])) for i in best]
+                worst = float(np.partition(cosines[found], len(found) - k)[len(found) - k])
+        if not done or not len(found):
+            return np.zeros(0, np.int64), np.zeros(0)
+        found = found[cosines[found] >= worst]
+        best = found[np.lexsort((self.ids[found], -np.round(cosines[found], 6)))][:k]
+        return best, cosines[best]
 
 
-def unit(dims: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w = (1 + np.log(counts)) * idf[dims]
-    dims, w = dims[w > 0], w[w > 0]
-    return dims, w / math.sqrt(float(w @ w)) if len(w) else w
+def shares(toxic: np.ndarray, cosines: np.ndarray, doubt: float = DOUBT) -> np.ndarray:
+    """The toxic share of the votes of the first 1, 2, 3, ... neighbours."""
+    w = 1 / (1.02 - np.minimum(cosines, 1.0))
+    return np.cumsum(w * toxic) / (np.cumsum(w) + doubt)
 
 
-def votes(neighbours: list[tuple[int, int, float]], doubt: float = DOUBT) -> float:
-    w = [1 / (1.02 - min(c, 1.0)) for _, _, c in neighbours]
-    return sum(x for x, (_, y, _) in zip(w, neighbours) if y) / (sum(w) + doubt)
+def depths(n: int) -> list[int]:
+    """Numbers of neighbours to choose from: powers of 2 up to a sixth of the examples."""
+    return [k for k in (1 << i for i in range(2, MOST_NEIGHBOURS.bit_length())) if k <= max(4, n // 6)]
 
 
-def calibration(shares: list[float], toxic: list[int], prior: float) -> tuple[float, float]:
-    """Slope and offset of P(toxic | share), by Newton steps on weighted, lightly ridged log-likelihood."""
-    x, y = np.array(shares), np.array(toxic, float)
+def calibration(own: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, float, float]:
+    """Slope and offset of P(toxic | share), by Newton steps on weighted, lightly ridged log-likelihood; and the mean loss."""
+    y = toxic.astype(float)
     weight = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1)) * len(y)
-    design, beta = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
-    for _ in range(50):
+    design, beta = np.stack([own, np.ones_like(own)], axis=1), np.zeros(2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (weight * (y - p)) - 0.1 * beta
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2)
+        gradient = design.T @ (weight * (y - p)) - 0.05 * beta
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
-        beta += step
+        beta += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
+    p = np.clip(1 / (1 + np.exp(-np.clip(design @ beta, -30, 30))), 1e-9, 1 - 1e-9)
+    return float(beta[0]), float(beta[1]), float(-(weight * np.where(y == 1, np.log(p), np.log(1 - p))).mean())
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        counts = [Counter(tokens(t)) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["id", "toxic", "words", "counts"])
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        rows = [(ids[r], toxic[r], h.tobytes(), c.astype(np.int32).tobytes()) for r, h, c in bags(batch.column(2))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["id", "toxic", "words", "counts"])
 
 
 def _examples(texts: DataFrame, labels: DataFrame, label_id_col: str, label_col: str, per_class: int) -> tuple[DataFrame, float]:
@@ -145,67 +184,145 @@ def _examples(texts: DataFrame, labels: DataFrame, label_id_col: str, label_col:
     for y in (0, 1):
         some = own.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = some if picked is None else picked.unionAll(some)
-    rows = texts.join(F.broadcast(picked), "id").select("id", "toxic", "t").mapInArrow(_word_counts, "id long, toxic int, words array<string>, counts array<long>")
+    # 2 * per_class ids at most
+    rows = texts.join(F.broadcast(picked), "id").select("id", "toxic", "t").mapInArrow(trimmed(_bag_rows), "id long, toxic int, words binary, counts binary")
     return store(rows.groupBy("id").agg(F.min(F.struct("toxic", "words", "counts")).alias("m")).select("id", "m.toxic", "m.words", "m.counts"), "examples"), float(share)
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS, k: int = NEIGHBOURS, threshold: float = THRESHOLD, least_chi: float = LEAST_CHI, least_ratio: float = LEAST_RATIO, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Rows (doc_id, score, votes, evidence) of the documents judged toxic: their probability, the share of votes, the neighbours."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+def _document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each of these words (hashes, in order) is, and the number of documents.
+
+    A task counts in one array; slices of the arrays are added up in the cluster, and their sums alone are collected.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        counts, n = np.zeros(len(known), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for _, own, _ in bags(batch.column(1)):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                counts[at[known[at] == own]] += 1
+        rows = [(k, counts[i : i + _SLICE]) for k, i in enumerate(range(0, len(counts), _SLICE))]
+        rows = [(-1, np.array([n]))] + [(k, c) for k, c in rows if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in rows], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(zlib.decompress(data.as_buffer()), np.int64)
+                sums[k] = sums[k] + own if k in sums else own
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in sums.values()], pa.binary())], ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    df, n = np.zeros(len(words), np.int64), 0
+    for k, data in texts.mapInArrow(trimmed(count), schema).repartition("slice").mapInArrow(add, schema).collect():
+        own = np.frombuffer(zlib.decompress(data), np.int64)
+        if k < 0:
+            n = int(own[0])
+        else:
+            df[k * _SLICE : k * _SLICE + len(own)] = own
+    shared.unpersist()
+    return df, n
+
+
+@dataclass
+class Judge:
+    """What the examples taught: words (hashes, in order), idf, index, and the vote's depth, slope and offset."""
+
+    words: np.ndarray
+    idf: np.ndarray
+    index: BlockMax
+    depth: int = MOST_NEIGHBOURS
+    slope: float = 0.0
+    offset: float = 0.0
+
+    def vector(self, words: np.ndarray, counts: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Dimensions and weights of a document, of length 1; words of fewer than `least` examples are left out."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        known = self.words[at] == words
+        if least > 1:
+            known &= self.index.often[at] >= least
+        return unit(at[known], counts[known], self.idf)
+
+    def own_shares(self, i: int, words: np.ndarray, counts: np.ndarray, at: list[int]) -> list[float]:
+        """The votes for an example at several depths, without itself and its own words."""
+        best, cosines = self.index.nearest(*self.vector(words, counts, 2), max(at), i)
+        if not len(best):
+            return [0.0] * len(at)
+        own = shares(self.index.toxic[best], cosines)
+        return [float(own[min(k, len(own)) - 1]) for k in at]
+
+    def verdict(self, i: int, words: np.ndarray, counts: np.ndarray) -> tuple[float, float, list[dict]]:
+        """(probability, share of votes, evidence)."""
+        best, cosines = self.index.nearest(*self.vector(words, counts), self.depth, i)
+        if not len(best):
+            return 0.0, 0.0, []
+        share = float(shares(self.index.toxic[best], cosines)[-1])
+        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * share + self.offset))))
+        return score, share, [{"example_id": int(self.index.ids[e]), "toxic": int(self.index.toxic[e]), "cosine": round(float(c), 6)} for e, c in zip(best[:EVIDENCE], cosines[:EVIDENCE])]
+
+
+def unit(dims: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(counts)) * idf[dims]
+    dims, w = dims[w > 0], w[w > 0]
+    return dims, w / math.sqrt(float(w @ w)) if len(w) else w
+
+
+def learn(texts: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> Judge | None:
+    """The Judge of texts (id, t), t in lower case, by labels; None without examples of both classes."""
     examples, prior = _examples(texts, labels, label_id_col, label_col, per_class)
-    n1, n = (x or 0 for x in examples.agg(F.sum("toxic"), F.count("*")).first())
-    often = examples.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("seen"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= max(2, least_share * n1))
-    words = sorted(r["w"] for r in often.collect() if is_associated(r["seen"], r["toxic"], n - n1, n1, least_chi, least_ratio, least_share))
-    if not words:
-        return spark.createDataFrame([], _SCHEMA)
-    index = {w: i for i, w in enumerate(words)}
-
-    def own_dimensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = sorted((r["id"], r["toxic"], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in examples.toLocalIterator())
+    toxic = np.array([y for _, y, _, _ in sample], np.int8)
+    if not toxic.any() or toxic.all():
+        return None
+    words = np.unique(np.concatenate([h for _, _, h, _ in sample]))
+    df, n = _document_frequencies(texts, words)
+    idf = np.log((1 + n) / (1 + df)) ** IDF_POWER
+    vectors = [unit(np.searchsorted(words, h), c, idf) for _, _, h, c in sample]
+    judge = Judge(words, idf, BlockMax(np.array([i for i, *_ in sample]), toxic, vectors, len(words)))
+    del sample, vectors
+    shared, at = texts.sparkSession.sparkContext.broadcast(judge), depths(len(toxic))
+
+    def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [sorted((index[w], c) for w, c in zip(ws, cs) if w in index) for ws, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[d for d, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int64()))], ["id", "toxic", "dims", "counts"])
-
-    def dimensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index.keys()
-        for batch in pieces(batches):
-            ids, dims, counts = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = tokens(text)
-                hit = known & set(own)
-                if hit:
-                    c = Counter(w for w in own if w in hit)
-                    ids.append(i)
-                    dims.append([index[w] for w in c])
-                    counts.append(list(c.values()))
-            yield pa.RecordBatch.from_arrays([pa.array([*ids, None], pa.int64()), pa.array([*dims, None], pa.list_(pa.int32())), pa.array([*counts, None], pa.list_(pa.int64())), pa.array([0] * len(ids) + [batch.num_rows], pa.int64())], ["id", "dims", "counts", "n"])
-
-    # one row a document that has any dimension, and one with the number of documents for each batch
-    vectors = store(texts.mapInArrow(dimensions, "id long, dims array<int>, counts array<long>, n long"), "vectors")
-    total = vectors.agg(F.sum("n")).first()[0] or 0
-    df = np.zeros(len(words))
-    for d, n in vectors.where("id is not null").select(F.explode("dims").alias("d")).groupBy("d").count().collect():
-        df[d] = n
-    idf = np.log((1 + total) / (1 + df))
-    sample = sorted(map(tuple, examples.mapInArrow(own_dimensions, "id long, toxic int, dims array<int>, counts array<long>").collect()))
-    sparse = [unit(np.array(d, np.int64), np.array(c, float), idf) for _, _, d, c in sample]
-    search = BlockMax([x[0] for x in sample], [x[1] for x in sample], sparse, len(words))
-    own_votes = [votes(search.nearest(d, w, k, without=i)) if len(d) else 0.0 for (i, *_), (d, w) in zip(sample, sparse)]
-    slope, offset = calibration(own_votes, [x[1] for x in sample], min(max(prior, 1e-3), 1 - 1e-3))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            i, y, h, c = (batch.column(k) for k in range(4))
+            own = [shared.value.own_shares(a, np.frombuffer(b.as_buffer(), np.uint64), np.frombuffer(d.as_buffer(), np.int32), at) for a, b, d in zip(i.to_pylist(), h, c)]
+            yield pa.RecordBatch.from_arrays([y, pa.array(own, pa.list_(pa.float64()))], ["toxic", "shares"])
+
+    # the loss over the examples is computed side by side
+    spread = examples.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "id")
+    rows = spread.mapInArrow(trimmed(own_votes), "toxic int, shares array<double>").collect()
+    table, y = np.array([r["shares"] for r in rows]), np.array([r["toxic"] for r in rows])
+    fits = [(*calibration(table[:, k], y, min(max(prior, 1e-3), 1 - 1e-3)), depth) for k, depth in enumerate(at)]
+    judge.slope, judge.offset, _, judge.depth = min(fits, key=lambda f: f[2])
+    shared.unpersist()
+    return judge
+
+
+def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc_id, score, votes, evidence) of the documents judged toxic: their probability, the share of votes, the nearest neighbours."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("t")).where("id is not null and t is not null")
+    judge = learn(texts, labels, label_id_col, label_col, per_class)
+    if judge is None:
+        return docs.sparkSession.createDataFrame([], _SCHEMA)
+    shared = docs.sparkSession.sparkContext.broadcast(judge)
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("votes", pa.float64()), ("evidence", pa.list_(pa.struct([("example_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, d, c in zip(*(batch.column(j).to_pylist() for j in range(3))):
-                found = search.nearest(*unit(np.array(d, np.int64), np.array(c, float), idf), k, without=i)
-                share = votes(found)
-                score = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * share + offset))))
-                if score >= threshold and found:
-                    out.append({"doc_id": i, "score": round(score, 6), "votes": round(share, 6), "evidence": [{"example_id": e, "toxic": y, "cosine": round(cos, 6)} for e, y, cos in found]})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("votes", pa.float64()), ("evidence", pa.list_(pa.struct([("example_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])))]))
-
-    judged = vectors.where("id is not null").mapInArrow(judge, _SCHEMA)
+            out, ids = [], batch.column(0).to_pylist()
+            for row, words, counts in bags(batch.column(1)):
+                score, share, evidence = shared.value.verdict(ids[row], words, counts)
+                if evidence and score >= threshold:
+                    out.append({"doc_id": ids[row], "score": round(score, 6), "votes": round(share, 6), "evidence": evidence})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
     # rows that repeat an id: the highest score counts
+    judged = texts.mapInArrow(trimmed(run), _SCHEMA)
     return judged.groupBy("doc_id").agg(F.max(F.struct("score", "votes", "evidence")).alias("m")).select("doc_id", "m.score", "m.votes", "m.evidence")
 
 

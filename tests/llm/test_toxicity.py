@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import toxicity as t
 
@@ -16,75 +18,117 @@ def corpus(seed=3, n=400):
         words = rng.choices(common, k=rng.randint(20, 120)) + [f"r{rng.randrange(100000)}" for _ in range(20)]
         truth[i] = int(rng.random() < 0.25)
         if truth[i]:
-            words += rng.choices(bad, k=rng.randint(2, 6))
+            words += rng.choices(bad, k=rng.randint(3, 8))
         rng.shuffle(words)
         docs.append((i, " ".join(words)))
     return docs, truth
 
 
-def test_block_max_is_exact():
+@pytest.mark.parametrize("k", [1, 8, 100, 1000])
+def test_block_max_is_exact(k):
     rng = np.random.default_rng(1)
-    dims, n = 40, 500
-    dense = np.where(rng.random((n, dims)) < 0.08, rng.random((n, dims)), 0)
+    dims, n = 60, 500
+    dense = np.where(rng.random((n, dims)) < np.linspace(0.01, 0.5, dims), rng.random((n, dims)), 0)  # short lists and rows
     dense[50:60] = dense[50]  # ties
     norms = np.linalg.norm(dense, axis=1, keepdims=True)
-    dense = np.divide(dense, norms, out=np.zeros_like(dense), where=norms > 0)
-    index = t.BlockMax(list(range(n)), [i % 2 for i in range(n)], [(np.flatnonzero(v), v[v > 0]) for v in dense], dims)
+    dense = np.divide(dense, norms, out=np.zeros_like(dense), where=norms > 0).astype(np.float32).astype(float)
+    index = t.BlockMax(np.arange(n), np.arange(n) % 2, [(np.flatnonzero(v), v[v > 0]) for v in dense], dims, block=16)
+    assert 0 < len(index.rows) < dims
     for q in range(0, n, 3):
         d = np.flatnonzero(dense[q])
-        cosines = np.round(dense @ dense[q], 12)
-        want = [i for i in sorted(range(n), key=lambda i: (-cosines[i], i)) if cosines[i] > 0 and i != q][:8]
-        got = index.nearest(d, dense[q][d], 8, without=q)
-        assert [x[0] for x in got] == want
-        assert np.allclose([x[2] for x in got], cosines[want])
+        cosines = dense @ dense[q]
+        want = [i for i in sorted(range(n), key=lambda i: (-np.round(cosines[i], 6), i)) if cosines[i] > 0 and i != q][:k]
+        best, got = index.nearest(d, dense[q][d], k, without=q)
+        assert len(best) == len(want) and np.allclose(got, cosines[index.ids[best]], atol=1e-6)
+        assert np.allclose(got, cosines[want], atol=2e-6)
+        assert all(a == b or abs(cosines[a] - cosines[b]) < 2e-6 for a, b in zip(index.ids[best].tolist(), want))
+
+
+def test_most_blocks_are_not_scored():
+    """Examples of two languages: the blocks of the other one can't be near."""
+    rng = np.random.default_rng(2)
+    vectors = []
+    for i in range(640):
+        d = np.unique(np.concatenate([[i % 2], rng.integers(2, 300, 20) + 300 * (i % 2)]))
+        vectors.append((d, np.full(len(d), len(d) ** -0.5)))
+    index = t.BlockMax(np.arange(640), np.zeros(640), vectors, 700)
+    assert all(len(set((index.ids[b * 64 : b * 64 + 64] % 2).tolist())) == 1 for b in range(10))
 
 
 def test_held_out_accuracy(spark):
-    docs, truth = corpus()
+    docs, truth = corpus(3, 900)
     df = spark.createDataFrame([(i, x, "", 0) for i, x in docs], DOCS)
-    labels = spark.createDataFrame([(i, y) for i, y in truth.items() if i < 250], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, y) for i, y in truth.items() if i < 600], "doc_id long, toxic int")
     rows = t.toxic_documents(df, labels).collect()
     got = {r["doc_id"] for r in rows}
-    held = [i for i in truth if i >= 250]
+    held = [i for i in truth if i >= 600]
     assert np.mean([(i in got) == truth[i] for i in held]) > 0.95
     for r in rows:
-        assert r["evidence"] and all(e["example_id"] != r["doc_id"] and 0 < e["cosine"] <= 1 + 1e-9 for e in r["evidence"]) and 0.5 <= r["score"] <= 1
+        assert r["evidence"] and all(e["example_id"] != r["doc_id"] and 0 < e["cosine"] <= 1 + 1e-6 for e in r["evidence"]) and t.THRESHOLD <= r["score"] <= 1
     kept = t.drop_toxic(df, labels)
     assert kept.columns == df.columns and {r[0] for r in kept.collect()} == truth.keys() - got
 
 
 def test_matches_brute_force(spark):
-    docs, truth = corpus(5, 200)
+    """Every document is scored by dense vectors over all words of the examples; those not reported are compared too."""
+    docs, truth = corpus(5, 260)
+    docs += [(900, docs[3][1]), (901, " ".join(w for w in docs[7][1].split() if w[0] == "r")), (902, "nothing known here")]
     df = spark.createDataFrame([(i, x, "", 0) for i, x in docs], DOCS)
-    labels = spark.createDataFrame(list(truth.items())[:150], "doc_id long, toxic int")
-    rows = t.toxic_documents(df, labels).collect()
-    examples = [(i, truth[i], t.tokens(x)) for i, x in docs[:150]]
-    n1 = sum(y for _, y, _ in examples)
-    words = {w for _, _, ws in examples for w in ws}
-    own = sorted(w for w in words if t.is_associated(sum(w in e[2] for e in examples), sum(w in e[2] and e[1] for e in examples), 150 - n1, n1))
-    idf = np.array([np.log((1 + 200) / (1 + sum(w in t.tokens(x) for _, x in docs))) for w in own])
-
-    def vector(ws):
-        c = np.array([ws.count(w) for w in own], float)
+    labels = spark.createDataFrame(list(truth.items())[:180], "doc_id long, toxic int")
+    own = [(i, truth[i], x.split()) for i, x in docs[:180]]
+    words = sorted({w for _, _, ws in own for w in ws})
+    idf = np.array([np.log((1 + len(docs)) / (1 + sum(w in x.split() for _, x in docs))) for w in words]) ** t.IDF_POWER
+
+    def vector(ws, allowed=None):
+        c = np.array([ws.count(w) if allowed is None or w in allowed else 0 for w in words], float)
         v = np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * idf
         return v / (np.linalg.norm(v) or 1)
 
-    table = {i: vector(ws) for i, _, ws in examples}
-    text = dict(docs)
-    for r in rows:
-        q = vector(t.tokens(text[r["doc_id"]]))
-        near = sorted(((round(float(v @ q), 12), i) for i, v in table.items() if i != r["doc_id"] and v @ q > 0), key=lambda x: (-x[0], x[1]))[: t.NEIGHBOURS]
-        assert [e["example_id"] for e in r["evidence"]] == [i for _, i in near]
-        assert np.allclose([e["cosine"] for e in r["evidence"]], [c for c, _ in near], atol=1e-6)
+    table = np.array([vector(ws) for _, _, ws in own])
+    ids, toxic = np.array([i for i, *_ in own]), np.array([y for _, y, _ in own])
+
+    def near(v, i, k):
+        cosines = table @ v
+        return sorted((e for e in range(len(own)) if cosines[e] > 0 and ids[e] != i), key=lambda e: (-round(cosines[e], 6), ids[e]))[:k], cosines
+
+    def share(best, cosines):
+        w = np.array([1 / (1.02 - min(1, cosines[e])) for e in best])
+        return float(w @ toxic[best] / (w.sum() + t.DOUBT)) if best else 0.0
+
+    twice = {w for w in words if sum(w in ws for _, _, ws in own) > 1}
+    fits = []
+    for k in t.depths(len(own)):
+        votes = [share(*near(vector(ws, twice), i, k)) for i, _, ws in own]
+        fits.append((*t.calibration(np.array(votes), toxic, toxic.mean()), k))
+    slope, offset, _, k = min(fits, key=lambda f: f[2])
+    want = {}
+    for i, x in docs:
+        best, cosines = near(vector(x.split()), i, k)
+        p = 1 / (1 + np.exp(-(slope * share(best, cosines) + offset)))
+        if best and p >= t.THRESHOLD:
+            want[i] = (p, {int(ids[e]) for e in best[: t.EVIDENCE] if cosines[e] > cosines[best[min(len(best), t.EVIDENCE) - 1]] + 1e-5})
+    got = {r["doc_id"]: r for r in t.toxic_documents(df, labels).collect()}
+    assert got.keys() == want.keys() and len(want) > 20 and 902 not in got
+    for i, (p, nearest) in want.items():
+        assert abs(got[i]["score"] - p) < 1e-3 and nearest <= {e["example_id"] for e in got[i]["evidence"]}
+    # an unlabelled copy of a toxic example has it as evidence
+    assert (900 in got) == (3 in got) and all(abs(got[900]["evidence"][0]["cosine"] - 1) < 1e-5 for _ in range(900 in got))
+
+
+def test_document_frequencies(spark):
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7 + 1)) + " W0") for i in range(50)] + [(60, "")], "id long, t string").select("id", F.lower("t").alias("t"))
+    words = np.sort(np.concatenate([h for _, h, _ in t.bags(pa.array([" ".join(f"w{j}" for j in range(9))]))]))
+    df, n = t._document_frequencies(texts.repartition(5), words)
+    assert n == 51 and sorted(df.tolist()) == sorted([sum(i % 7 >= j for i in range(50)) for j in range(9)])
 
 
 def test_edges(spark):
-    docs, truth = corpus(7, 120)
-    rows = [*((i, x, "", 0) for i, x in docs), (None, docs[0][1], "", 0), (500, None, "", 0), (501, "", "", 0), (502, "bad1 bad2 bad3 " + "c1 " * 200_000, "", 0), (0, docs[0][1], "", 0)]
+    docs, truth = corpus(7, 300)
+    rows = [*((i, x, "", 0) for i, x in docs), (None, docs[0][1], "", 0), (500, None, "", 0), (501, "", "", 0), (502, "bad1 bad2 bad3 bad1 bad4 " * 40_000, "", 0), (0, docs[0][1], "", 0), (503, "?!", "", 0)]
     df = spark.createDataFrame(rows, DOCS)
     labels = spark.createDataFrame([*truth.items(), (None, 1), (3, None), (9999, 1), (500, 1)], "doc_id long, toxic int")
     got = [r["doc_id"] for r in t.toxic_documents(df, labels).collect()]
-    assert len(got) == len(set(got)) and 502 in got and not {500, 501, None} & set(got)
+    assert len(got) == len(set(got)) and 502 in got and not {500, 501, 503, None} & set(got)
     kept = t.drop_toxic(df, labels).collect()
     assert sum(r[0] is None for r in kept) == 1 and {500, 501} <= {r[0] for r in kept}
 
