@@ -11,14 +11,17 @@ earlier ones first where free, and each carries its result.
 Defined results: null conversation ids are left out; exactly repeated rows count once; rows are ordered by turn (nulls last), role, text;
 null roles and texts are JSON nulls; of calls (or results) with one identifier the first is linked, later ones are
 reported "duplicate_call" ("duplicate_result"); a result without a call is "orphan_result", a call without one "no_result"; calls on a cycle,
-or after one, follow in order of appearance with "cycle"; unparsable blocks stay text and count as "malformed"; a tool
-without schema is "unknown_tool" if any schemas are given. Other columns are ignored; an empty table has no rows.
+or after one, follow in order of appearance with "cycle"; unparsable blocks stay text and count as "malformed", which holds too for numbers
+beyond double precision, NaN, and values nested more than MOST_DEPTH deep; half surrogate pairs become U+FFFD; of keys that repeat in an object the last counts; a tool
+without schema is "unknown_tool" if any schemas are given. Very long texts are parsed whole; other columns are ignored, whatever their names;
+an empty table has no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import store, trimmed
+
 BLOCKS = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.S)
+HALF_PAIR = re.compile(r"[\ud800-\udfff]")
+MOST_DEPTH = 100
 REFERENCE = re.compile(r"\$\{([^}.\s]+)[^}]*\}")
 
 #: Schemas used by the registered query: those of common tools.
@@ -38,6 +45,40 @@ SCHEMAS = {
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def _number(text: str) -> float:
+    if not math.isfinite(x := float(text)):
+        raise ValueError(f"{text} is beyond double precision")
+    return x
+
+
+def _constant(text: str):
+    raise ValueError(f"{text} is no JSON")
+
+
+def _whole(text: str) -> str:
+    """text without halves of surrogate pairs, which no UTF-8 can hold."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if HALF_PAIR.search(text) else text
+
+
+def _clean(value, depth: int = 0):
+    """value with whole strings; ValueError if it is nested too deep."""
+    if depth > MOST_DEPTH:
+        raise ValueError(f"nested more than {MOST_DEPTH} deep")
+    if isinstance(value, str):
+        return _whole(value)
+    if isinstance(value, list):
+        return [_clean(x, depth + 1) for x in value]
+    return {_whole(k): _clean(x, depth + 1) for k, x in value.items()} if isinstance(value, dict) else value
+
+
+def loads(text: str):
+    """The value of a JSON text that can be written again; else ValueError."""
+    try:
+        return _clean(json.loads(text, parse_float=_number, parse_constant=_constant))
+    except RecursionError as e:
+        raise ValueError("nested too deep") from e
+
+
 def canonical(value) -> str:
     """JSON with sorted keys, no spare space, text as it is."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -51,8 +92,10 @@ def _is(value, kind: str) -> bool:
     return isinstance(value, _TYPES.get(kind, object))
 
 
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """Where value breaks the schema, as "path: keyword"."""
+def violations(value, schema: dict | bool, at: str = "$") -> list[str]:
+    """Where value breaks the schema, as "path: keyword". The schema true allows all, false nothing."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: false"]
     out = []
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
@@ -95,6 +138,10 @@ def references(value) -> set[str]:
     return set(REFERENCE.findall(value)) if isinstance(value, str) else set()
 
 
+def _is_id(x) -> bool:
+    return isinstance(x, (str, int)) and not isinstance(x, bool)
+
+
 def _call(x) -> dict | None:
     if not isinstance(x, dict):
         return None
@@ -102,16 +149,16 @@ def _call(x) -> dict | None:
     arguments = f.get("arguments", {})
     if isinstance(arguments, str):
         try:
-            arguments = json.loads(arguments)
+            arguments = loads(arguments)
         except ValueError:
             return None
-    if not isinstance(x.get("id"), (str, int)) or not isinstance(f.get("name"), str):
+    if not _is_id(x.get("id")) or not isinstance(f.get("name"), str):
         return None
     return {"id": str(x["id"]), "name": f["name"], "arguments": arguments}
 
 
 def _result(x) -> dict | None:
-    if not isinstance(x, dict) or not isinstance(x.get("tool_call_id"), (str, int)):
+    if not isinstance(x, dict) or not _is_id(x.get("tool_call_id")):
         return None
     return {"id": str(x["tool_call_id"]), "content": x.get("content")}
 
@@ -122,7 +169,7 @@ def parse(role: str | None, text: str | None) -> tuple[str | None, list[dict], l
         return text, [], [], 0
     if text.lstrip()[:1] == "{":
         try:
-            whole = json.loads(text)
+            whole = loads(text)
         except ValueError:
             whole = None
         if isinstance(whole, dict) and isinstance(whole.get("tool_calls"), list):
@@ -134,7 +181,7 @@ def parse(role: str | None, text: str | None) -> tuple[str | None, list[dict], l
     calls, results, malformed, rest, at = [], [], 0, [], 0
     for m in BLOCKS.finditer(text):
         try:
-            x = json.loads(m[2])
+            x = loads(m[2])
         except ValueError:
             x = None
         got = _call(x) if m[1] == "call" else _result(x)
@@ -231,7 +278,8 @@ def linked_conversations(conversations: DataFrame, schemas: dict[str, dict] | No
     """Rows (conv_id, messages, calls, linked, invalid, problems, cyclic, json), one for each conversation."""
     rows = conversations.select(F.col(conv_col).cast("long").alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).where("id is not null").distinct()
     order = Window.partitionBy("id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    parts = rows.select("id", (F.row_number().over(order) - 1).alias("at"), "role", "text").mapInArrow(_parts, _PART)
+    # parsed once: messages, calls and results are each read from what is stored
+    parts = store(rows.select("id", (F.row_number().over(order) - 1).alias("at"), "role", "text").mapInArrow(trimmed(_parts), _PART), "parts")
     ranked = parts.where("kind <> 'message'").withColumn("rank", F.row_number().over(Window.partitionBy("id", "kind", "call_id").orderBy("at", "n")))
     calls, results = (ranked.where((F.col("kind") == k) & (F.col("rank") == 1)).select("id", "call_id", F.col("body").alias("link")) for k in ("call", "result"))
     other = results.withColumn("kind", F.lit("call")).unionAll(calls.withColumn("kind", F.lit("result"))).withColumn("rank", F.lit(1))
@@ -239,4 +287,4 @@ def linked_conversations(conversations: DataFrame, schemas: dict[str, dict] | No
     columns = ["id", "at", "role", "content", "kind", "call_id", "n", "body", "malformed", "rank", "link"]
     every = linked.select(*columns).unionAll(parts.where("kind = 'message'").withColumn("rank", F.lit(1)).withColumn("link", F.lit(None).cast("string")).select(*columns))
     grouped = every.groupBy("id").agg(F.collect_list(F.struct(*columns[1:])).alias("parts"))
-    return grouped.mapInArrow(_serialise(schemas or {}), "conv_id long, messages int, calls int, linked int, invalid int, problems int, cyclic int, json string")
+    return grouped.mapInArrow(trimmed(_serialise(schemas or {})), "conv_id long, messages int, calls int, linked int, invalid int, problems int, cyclic int, json string")

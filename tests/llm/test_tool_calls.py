@@ -69,3 +69,75 @@ def test_edges(spark):
     assert json.loads(got[1]["json"])["messages"] == [{"content": None, "role": None}, {"content": "a", "role": "user"}, {"content": "b", "role": "user"}, {"content": "late", "role": "user"}]
     assert len(json.loads(got[3]["json"])["messages"][0]["content"]) == 500_000
     assert run(spark, []) == {}
+
+
+def test_hostile_json(spark):
+    block = lambda body: f"<tool_call>{body}</tool_call>"
+    deep = "[" * 20_000 + "]" * 20_000
+    texts = [
+        block('{"id": "a", "name": "n", "arguments": ' + deep + "}"),
+        block('{"id": "b", "name": "n", "arguments": {"x": 1e999}}'),
+        block('{"id": "c", "name": "n", "arguments": {"x": NaN}}'),
+        block('{"id": "d", "name": "n", "arguments": {"x": "\\ud800 \\ud83d\\ude00"}}'),
+        block('{"id": "e\\udc00", "name": "n", "arguments": "' + deep + '"}'),
+        block('{"id": true, "name": "n"}'),
+        block('{"id": 7, "name": "n", "arguments": ' + "9" * 5000 + "}"),
+        deep,
+        '{"tool_calls": ' + deep + "}",
+        '{"content": "x", "tool_calls": [1, null, {"id": "f", "function": {"name": "n"}}]}',
+        block('{"id": "g", "name": "n", "arguments": {"k": 1, "k": 2}}'),
+        block('{"id": "h", "name": "n", "arguments": ' + "[" * 90 + "]" * 90 + "}"),
+    ]
+    r = run(spark, [(1, i, "assistant", x) for i, x in enumerate(texts)], {"n": True})[1]
+    got = json.loads(r["json"], parse_constant=lambda x: 1 / 0)
+    calls = {c["id"]: c for c in got["tool_calls"]}
+    assert calls.keys() == {"d", "f", "g", "h"} and calls["d"]["arguments"] == {"x": "� \U0001f600"} and calls["g"]["arguments"] == {"k": 2}
+    assert sum(p["count"] for p in got["problems"] if p["problem"] == "malformed") == 8
+    assert run(spark, [(1, 0, "assistant", call("a"))], {"search": False})[1]["invalid"] == 1
+
+
+def test_linking_against_brute_force(spark):
+    """Random conversations, linked by loops over all pairs of messages."""
+    rng = random.Random(5)
+    rows = []
+    for conv in range(40):
+        for turn in range(rng.randrange(9)):
+            blocks = [rng.choice([lambda: call(rng.choice("abcd"), rng.choice(["search", "other"]), query=rng.choice(["x", "", "${b}", "${c.0}"])), lambda: result(rng.choice("abcde"), rng.randrange(5)), lambda: "<tool_result>{</tool_result>", lambda: "text "])() for _ in range(rng.randrange(4))]
+            rows.append((conv, turn, "assistant", "".join(blocks)))
+    got = run(spark, rows)
+    for conv in {r[0] for r in rows}:
+        calls, results, malformed = [], [], 0
+        for _, turn, _, text in sorted(r for r in rows if r[0] == conv):
+            for part in text.replace("<tool_", "\0<tool_").split("\0"):
+                body = part.partition(">")[2].partition("</")[0]
+                if part.startswith("<tool_call>"):
+                    calls.append((turn, json.loads(body)))
+                elif part.startswith("<tool_result>"):
+                    if body == "{":
+                        malformed += 1
+                    else:
+                        results.append((turn, json.loads(body)))
+        want, problems, linked = [], [], 0
+        for k, (turn, c) in enumerate(calls):
+            mine = [r for _, r in results if r["tool_call_id"] == c["id"]]
+            notes = []
+            if any(o["id"] == c["id"] for _, o in calls[:k]):
+                notes, mine = ["duplicate_call"], []
+            elif not mine:
+                notes = ["no_result"]
+            if c["name"] == "other":
+                notes.append("unknown_tool")
+            elif c["arguments"]["query"] == "":
+                notes.append("$.query: minLength")
+            linked += bool(mine)
+            want.append((c["id"], turn, tuple(notes), mine[0]["content"] if mine else "none"))
+        for k, (turn, r) in enumerate(results):
+            if any(o["tool_call_id"] == r["tool_call_id"] for _, o in results[:k]):
+                problems.append(("duplicate_result", turn))
+            elif not any(c["id"] == r["tool_call_id"] for _, c in calls):
+                problems.append(("orphan_result", turn))
+        doc = json.loads(got[conv]["json"])
+        have = [(c["id"], c["message"], tuple(n for n in c["problems"] if n != "cycle"), c.get("result", "none")) for c in doc["tool_calls"]]
+        assert sorted(map(str, have)) == sorted(map(str, want)) and got[conv]["linked"] == linked
+        assert sorted((p["problem"], p["message"]) for p in doc["problems"] if p["problem"] != "malformed") == sorted(problems)
+        assert sum(p.get("count", 0) for p in doc["problems"]) == malformed
