@@ -9,7 +9,7 @@ Of several, the nearest is named (before wins a tie) and all are counted.
 
 Defined results: null ids and texts hold nothing; repeated rows of an id are scanned once for each different part; a place that
 several rules match belongs to the first rule, strong ones first; overlapping parts of different kinds are linked (distance 0);
-other columns are ignored; an empty table has no rows. The secret is reported as a digest, never in clear.
+parts of any length and very long texts are scanned whole; other columns are ignored, whatever their names; an empty table has no rows. The secret is reported as a digest, never in clear.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import store, trimmed
+
 REACH = 200
 LEAST_ENTROPY = 3.0
 
@@ -33,21 +35,22 @@ _BEFORE = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))"
 
 #: (kind, rule, strong, pattern, signs): group "v" or else the whole match is the part; any text that matches has one of the signs.
 RULES = [
-    ("secret", "private_key", True, re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----)?"), ("PRIVATE KEY-----",)),
+    # with its headers and to its END line; of a block that is cut off, the lines of a key that are there
+    ("secret", "private_key", True, re.compile(r"-----BEGIN [A-Z0-9 ]*+(?<=PRIVATE KEY)-----(?:\s*+[A-Za-z][\w-]*+:[^\n]*+)*+(?:[A-Za-z0-9+/=\s]*-----END [A-Z0-9 ]*+(?<=PRIVATE KEY)-----|(?:\s*[A-Za-z0-9+/=]{16,})*)"), ("PRIVATE KEY-----",)),
     ("secret", "github_token", True, re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     ("secret", "slack_token", True, re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), ("xox",)),
     ("secret", "google_key", True, re.compile(r"\bAIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), ("AIza",)),
     ("secret", "stripe_key", True, re.compile(r"\b[rs]k_live_[0-9A-Za-z]{16,}\b"), ("k_live_",)),
     ("secret", "jwt", True, re.compile(r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"), ("eyJ",)),
-    ("secret", "url_password", True, re.compile(r"://[^\s/:@\"'<>]{0,64}:(?P<v>[^\s/@\"'<>]{1,128})@(?=[\w\[])"), ("://",)),
+    ("secret", "url_password", True, re.compile(r"://[^\s/:@\"'<>]*+:(?P<v>[^\s/@\"'<>]++)@(?=[\w\[])"), ("://",)),
     ("secret", "assigned", False, re.compile(rf"(?:(?i:secret(?!ar|ion|ive)|token(?!i[sz])|password|passwd|pwd|api[_-]?key){_AFTER}|{_BEFORE}(?i:auth)(?![A-Za-z]))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<v>[^\s\"',;]{{8,}})"), ("=", ":")),
-    ("secret", "random_string", False, re.compile(r"(?<![\w/+-])(?P<v>(?=[\w/+-]{0,80}[0-9])(?=[\w/+-]{0,80}[A-Za-z])[A-Za-z0-9/+_-]{32,88}={0,2})(?![\w/+=-])"), "0123456789"),
+    ("secret", "random_string", False, re.compile(r"(?<![\w/+-])(?P<v>(?=[\w/+-]*[0-9])(?=[\w/+-]*[A-Za-z])[A-Za-z0-9/+_-]{32,}+={0,2})(?![\w/+=-])"), "0123456789"),
     ("identifier", "aws_access_key_id", False, re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"), ("AKIA", "ASIA")),
     ("identifier", "oauth_client", False, re.compile(r"\b[0-9]{6,}-[a-z0-9]{20,}\.apps\.[a-z]+\.com\b"), (".apps.",)),
-    ("identifier", "account", False, re.compile(_BEFORE + r"(?i:(?:user(?:name)?|login|client[_-]?id|account[_-]?id|access[_-]?key[_-]?id)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,64})"), ("=", ":")),
+    ("identifier", "account", False, re.compile(_BEFORE + r"(?i:(?:user(?:name)?|login|client[_-]?id|account[_-]?id|access[_-]?key[_-]?id)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,})"), ("=", ":")),
     ("identifier", "email", False, re.compile(r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,4}\b"), ("@",)),
-    ("endpoint", "url", False, re.compile(r"\b(?:https?|wss?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]{3,300}"), ("://",)),
-    ("endpoint", "host", False, re.compile(_BEFORE + r"(?i:(?:host(?:name)?|endpoint|server|base[_-]?url)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,253})"), ("=", ":")),
+    ("endpoint", "url", False, re.compile(r"\b(?:https?|wss?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]{3,}"), ("://",)),
+    ("endpoint", "host", False, re.compile(_BEFORE + r"(?i:(?:host(?:name)?|endpoint|server|base[_-]?url)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[^\s\"',;]{3,})"), ("=", ":")),
     ("endpoint", "address", False, re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\w.])"), "0123456789"),
 ]
 
@@ -83,7 +86,8 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    return texts.mapInArrow(run, "id long, kind string, rule string, strong boolean, begin int, end int, digest string").distinct()
+    # scanned once: the sides of a join each read what is stored
+    return store(texts.mapInArrow(trimmed(run), "id long, kind string, rule string, strong boolean, begin int, end int, digest string").distinct(), "parts")
 
 
 def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, least_entropy: float = LEAST_ENTROPY) -> DataFrame:

@@ -96,3 +96,23 @@ def test_secrets_with_longer_names_and_in_urls(spark):
     assert all(r["identifiers"] or r["endpoints"] for r in rows)
     for text in ("a@b.org secretary: Margarethe7Oldenburg", "a@b.org author: Margarethe7Oldenburg", "https://example.com:8080/a@b"):
         assert not [p for p in s.parts_of(text) if p[0] == "secret"], text
+
+
+def test_key_blocks_with_headers_have_digests_of_their_own():
+    block = lambda kind, head, body: f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{body}\n-----END {kind}PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n"
+    texts = [block("RSA ", head, "Abc1+/" * 30), block("RSA ", head, "Xyz2+/" * 30), block("", "", "QQ==" * 300), "-----BEGIN EC PRIVATE KEY-----\n" + "Ab" * 32 + "\nand prose goes on", "-----BEGIN EC PRIVATE KEY-----\n" + "Cd" * 32 + "\nand prose goes on"]
+    found = [s.parts_of("x " + t + " y") for t in texts]
+    assert all(len(f) == 1 and f[0][1] == "private_key" for f in found)
+    assert len({f[0][5] for f in found}) == len(texts)
+    assert [f[0][4] - f[0][3] for f in found[:3]] == [len(t) for t in texts[:3]]
+    assert found[3][0][4] - f"x {texts[3]}".index("\nand") == 0
+
+
+def test_parts_of_any_length():
+    import hashlib
+
+    value = "a1B2c3D4" * 200
+    (one,) = [p for p in s.parts_of(f"see {value} there") if p[0] == "secret"]
+    assert one[5] == hashlib.sha256(value.encode()).hexdigest()[:16]
+    assert s.parts_of("-----BEGIN RSA PRIVATE KEY-----\n" * 3000) and s.parts_of("a1/" * 100_000) and s.parts_of("://" + "a" * 100_000 + ":") == []
