@@ -7,9 +7,10 @@ length 1. The power lets the words that few documents share decide: with 1, word
 Words are runs of letters, digits and "_" of the lower-case text (any character beyond ASCII counts as a letter), told apart by 64-bit hashes.
 
 Search: examples are sorted so that like ones are near and cut into blocks. Of a word that few examples have, the postings are by block, with
-the greatest weight in each; of a word that an eighth of them have, the weights are a row, one for each example. The rows' exact sums and the
-sums of query weight times block maximum bound every example of a block. Blocks are scored in falling order of bound until the k-th
-best cosine is beyond the next bound. The result is exact (weights are single precision), ties go to the smaller example id.
+the greatest weight in each; of a word that an eighth of them have, the weights are a row, one for each example, and the rows' sums for
+many documents are one matrix product. The k-th best of these sums is less than the k-th best cosine; a block whose greatest sum of a row and
+sum of query weight times block maximum are together less than that has no neighbour and is left out, all others are scored.
+The result is exact (weights are single precision), ties go to the smaller example id.
 
 Vote: neighbours weigh 1 / (1.02 - cosine); the toxic share of the votes, with `doubt` votes for clean, goes through a logistic
 curve. The curve and the number of neighbours (a power of 2) are those of the least loss over the examples themselves, each without itself and
@@ -27,6 +28,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,14 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import slices, small, store, trimmed, utf8
 from spanloom.llm.simhash import word_hashes
 
-PER_CLASS = 6000
+PER_CLASS = 2000
 IDF_POWER = 2.0
 MOST_NEIGHBOURS = 512
 EVIDENCE = 8
 DOUBT = 0.5
 THRESHOLD = 0.3
 BLOCK = 64
+_TOGETHER = 64
 _SLICE = 1 << 14
 
 _SCHEMA = "doc_id long, score double, votes double, evidence array<struct<example_id: bigint, toxic: int, cosine: double>>"
@@ -59,6 +62,49 @@ def bags(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 yield row, *np.unique(own, return_counts=True)
 
 
+class Words:
+    """The words of the examples by hash: dimension k is the k-th hash in order."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.bits = max(1, min(28, len(hashes).bit_length()))
+        heads = hashes >> np.uint64(64 - self.bits)
+        self.first = np.searchsorted(heads, np.arange(1 << self.bits, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.bincount(heads.astype(np.int64)).max()) if len(hashes) else 0
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The dimension of each hash, -1 without one. Hashes of one head follow each other and are few."""
+        at = self.first[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
+        out = np.full(len(hashes), -1, np.int64)
+        for k in range(self.most):
+            place = np.minimum(at + k, len(self.hashes) - 1)
+            same = self.hashes[place] == hashes
+            out[same] = place[same]
+        return out
+
+    def bags(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, dimensions in order, counts) of the rows of a column of lower-case texts that have any dimension."""
+        text, offsets = utf8(column)
+        for a, b in slices(offsets, 1 << 20):
+            hashes, at = word_hashes(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            dims = self.find(hashes)
+            known = dims >= 0
+            keys = (np.repeat(np.arange(b - a), np.diff(at))[known] << 32) | dims[known]
+            keys.sort()
+            if not len(keys):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts, keys = np.diff(np.concatenate([new, [len(keys)]])), keys[new]
+            row, dims = keys >> 32, keys & 0xFFFFFFFF
+            cuts = np.searchsorted(row, np.arange(b - a + 1)).tolist()
+            for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                if x < y:
+                    yield a + k, dims[x:y], counts[x:y]
+
+
 def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after another."""
     n = end - begin
@@ -90,53 +136,65 @@ class BlockMax:
         self.rows[self.row[word[dense]], example[dense]] = weight[dense]
         word, example, weight = word[~dense], example[~dense], weight[~dense]
         by = np.argsort(word * np.int64(max(1, n)) + example)
-        word, self.example, self.weight = word[by], example[by].astype(np.int32), weight[by]
+        word, self.example, self.weight = word[by], example[by], weight[by].astype(np.float64)
         self.at = np.zeros(1, np.int64)
         if len(word):
             new = np.concatenate([[True], (word[1:] != word[:-1]) | (self.example[1:] // block != self.example[:-1] // block)])
             begin = np.flatnonzero(new)
-            self.most, self.of_block = np.maximum.reduceat(self.weight, begin), (self.example[begin] // block).astype(np.int32)
+            self.most, self.of_block = np.maximum.reduceat(self.weight, begin), self.example[begin] // block
             self.begin = np.concatenate([begin, [len(word)]])
             self.at = np.searchsorted(word[begin], np.arange(dims + 1))
         else:
-            self.most, self.of_block, self.begin, self.at = np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(dims + 1, np.int64)
-
-    def nearest(self, dims: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of examples, cosines) of the k nearest with a cosine above 0; the id `without` is left out."""
+            self.most, self.of_block, self.begin, self.at = np.zeros(0), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(dims + 1, np.int64)
+
+    def sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each query (dimensions, weights) and example the part of the cosine that words with rows have."""
+        table = np.zeros((len(queries), len(self.rows)), np.float32)
+        for q, (dims, weights) in enumerate(queries):
+            row = self.row[dims]
+            table[q, row[row >= 0]] = weights[row >= 0]
+        return table @ self.rows
+
+    def nearest(self, dims: np.ndarray, weights: np.ndarray, k: int, without: int | None = None, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of examples, cosines) of the k nearest with a cosine above 0, in order; the id `without` is left out."""
+        found, cosines = self.among_nearest(dims, weights, k, without, sums)
+        by = np.lexsort((self.ids[found], -cosines))
+        return found[by], cosines[by]
+
+    def among_nearest(self, dims: np.ndarray, weights: np.ndarray, k: int, without: int | None = None, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same in any order. sums: the query's row of sums()."""
         if not self.n or not len(dims):
             return np.zeros(0, np.int64), np.zeros(0)
-        wide = self.row[dims] >= 0
-        cosines = (weights[wide].astype(np.float32) @ self.rows[self.row[dims[wide]]]).astype(np.float64)
-        lists, own = dims[~wide], weights[~wide]
-        size = self.at[lists + 1] - self.at[lists]
-        entry, factor = ranges(self.at[lists], self.at[lists + 1]), np.repeat(own, size)
+        cosines = (self.sums([(dims, weights)])[0] if sums is None else sums).astype(np.float64)
+        narrow = self.row[dims] < 0
+        lists, own = dims[narrow], weights[narrow]
+        begin, end = self.at[lists], self.at[lists + 1]
+        entry, factor = ranges(begin, end), np.repeat(own, end - begin)
         padded = np.zeros(self.blocks * self.block)
         padded[: self.n] = cosines
         bound = (np.bincount(self.of_block[entry], self.most[entry] * factor, self.blocks) + padded.reshape(self.blocks, -1).max(axis=1)) * (1 + 1e-5)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        worst, done, batch, seen = 0.0, 0, -(-k // self.block) + 1, np.zeros(self.blocks, bool)
-        while done < len(order) and bound[order[done]] >= worst:
-            now = np.zeros(self.blocks, bool)
-            now[order[done : done + batch]] = True
-            if worst > 0:
-                now[bound < worst] = False
-            done, batch = done + batch, len(order)  # what is left after the first blocks is decided by their k-th best
-            seen |= now
-            sel = now[self.of_block[entry]]
-            some = entry[sel]
-            posts = ranges(self.begin[some], self.begin[some + 1])
-            cosines += np.bincount(self.example[posts], self.weight[posts] * np.repeat(factor[sel], self.begin[some + 1] - self.begin[some]), self.n)
-            found = np.flatnonzero(np.repeat(seen, self.block)[: self.n] & (cosines > 0))
-            if without is not None:
-                found = found[self.ids[found] != without]
-            if len(found) >= k:
-                worst = float(np.partition(cosines[found], len(found) - k)[len(found) - k])
-        if not done or not len(found):
-            return np.zeros(0, np.int64), np.zeros(0)
-        found = found[cosines[found] >= worst]
-        best = found[np.lexsort((self.ids[found], -np.round(cosines[found], 6)))][:k]
-        return best, cosines[best]
+        # one more than k: the example itself may be among them
+        floor = np.partition(cosines, self.n - k - 1)[self.n - k - 1] * (1 - 1e-5) if self.n > k else 0.0
+        now = (bound >= floor) & (bound > 0)
+        sel = now[self.of_block[entry]]
+        if 2 * np.count_nonzero(sel) > len(sel):  # lists are read whole where most of their blocks are needed
+            first, last = self.begin[begin], self.begin[end]
+            posts = [slice(x, y) for x, y in zip(first.tolist(), last.tolist())]
+            example, weight = np.concatenate([self.example[x] for x in posts]), np.concatenate([self.weight[x] for x in posts])
+            cosines += np.bincount(example, weight * np.repeat(own, last - first), self.n)
+        elif len(some := entry[sel]):
+            first, last = self.begin[some], self.begin[some + 1]
+            posts = ranges(first, last)
+            cosines += np.bincount(self.example[posts], self.weight[posts] * np.repeat(factor[sel], last - first), self.n)
+        if not now.all():
+            cosines[~np.repeat(now, self.block)[: self.n]] = 0
+        if without is not None:
+            cosines[self.ids == without] = 0
+        found = np.flatnonzero(cosines >= np.partition(cosines, self.n - k)[self.n - k]) if self.n > k else np.arange(self.n)
+        found = found[cosines[found] > 0]
+        if len(found) > k:  # ties
+            found = found[np.lexsort((self.ids[found], -cosines[found]))][:k]
+        return found, cosines[found]
 
 
 def shares(toxic: np.ndarray, cosines: np.ndarray, doubt: float = DOUBT) -> np.ndarray:
@@ -189,8 +247,8 @@ def _examples(texts: DataFrame, labels: DataFrame, label_id_col: str, label_col:
     return store(rows.groupBy("id").agg(F.min(F.struct("toxic", "words", "counts")).alias("m")).select("id", "m.toxic", "m.words", "m.counts"), "examples"), float(share)
 
 
-def _document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each of these words (hashes, in order) is, and the number of documents.
+def _document_frequencies(texts: DataFrame, words: Words) -> tuple[np.ndarray, int]:
+    """In how many of all documents each of these words is, and the number of documents.
 
     A task counts in one array; slices of the arrays are added up in the cluster, and their sums alone are collected.
     """
@@ -201,9 +259,8 @@ def _document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[np.ndarr
         counts, n = np.zeros(len(known), np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for _, own, _ in bags(batch.column(1)):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                counts[at[known[at] == own]] += 1
+            for _, dims, _ in known.bags(batch.column(1)):
+                counts[dims] += 1
         rows = [(k, counts[i : i + _SLICE]) for k, i in enumerate(range(0, len(counts), _SLICE))]
         rows = [(-1, np.array([n]))] + [(k, c) for k, c in rows if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in rows], pa.binary())], ["slice", "counts"])
@@ -231,39 +288,52 @@ def _document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[np.ndarr
 
 @dataclass
 class Judge:
-    """What the examples taught: words (hashes, in order), idf, index, and the vote's depth, slope and offset."""
+    """What the examples taught: words, idf, index, and the vote's depth, slope and offset."""
 
-    words: np.ndarray
+    words: Words
     idf: np.ndarray
     index: BlockMax
     depth: int = MOST_NEIGHBOURS
     slope: float = 0.0
     offset: float = 0.0
 
-    def vector(self, words: np.ndarray, counts: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Dimensions and weights of a document, of length 1; words of fewer than `least` examples are left out."""
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        known = self.words[at] == words
-        if least > 1:
-            known &= self.index.often[at] >= least
-        return unit(at[known], counts[known], self.idf)
-
-    def own_shares(self, i: int, words: np.ndarray, counts: np.ndarray, at: list[int]) -> list[float]:
-        """The votes for an example at several depths, without itself and its own words."""
-        best, cosines = self.index.nearest(*self.vector(words, counts, 2), max(at), i)
-        if not len(best):
-            return [0.0] * len(at)
-        own = shares(self.index.toxic[best], cosines)
-        return [float(own[min(k, len(own)) - 1]) for k in at]
-
-    def verdict(self, i: int, words: np.ndarray, counts: np.ndarray) -> tuple[float, float, list[dict]]:
-        """(probability, share of votes, evidence)."""
-        best, cosines = self.index.nearest(*self.vector(words, counts), self.depth, i)
-        if not len(best):
-            return 0.0, 0.0, []
-        share = float(shares(self.index.toxic[best], cosines)[-1])
-        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * share + self.offset))))
-        return score, share, [{"example_id": int(self.index.ids[e]), "toxic": int(self.index.toxic[e]), "cosine": round(float(c), 6)} for e, c in zip(best[:EVIDENCE], cosines[:EVIDENCE])]
+    def own_vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Dimensions and weights of an example, of length 1, without the words that it alone has."""
+        dims = self.words.find(hashes)
+        twice = self.index.often[dims] > 1
+        return unit(dims[twice], counts[twice], self.idf)
+
+    def own_shares(self, rows: list[tuple[int, np.ndarray, np.ndarray]], at: list[int]) -> Iterator[list[float]]:
+        """The votes for examples (id, hashes, counts) at several depths, each without itself and its own words."""
+        queries = [self.own_vector(hashes, counts) for _, hashes, counts in rows]
+        for (i, _, _), (dims, weights), sums in zip(rows, queries, self.index.sums(queries)):
+            best, cosines = self.index.nearest(dims, weights, max(at), i, sums)
+            own = shares(self.index.toxic[best], cosines)
+            yield [float(own[min(k, len(own)) - 1]) for k in at] if len(own) else [0.0] * len(at)
+
+    def verdicts(self, rows: list[tuple[int, np.ndarray, np.ndarray]], threshold: float) -> Iterator[tuple[float, float, list[dict]]]:
+        """(probability, share of votes, evidence) of documents (id, dimensions, counts); evidence only from the threshold on."""
+        queries = [unit(dims, counts, self.idf) for _, dims, counts in rows]
+        for (i, _, _), (dims, weights), sums in zip(rows, queries, self.index.sums(queries)):
+            best, cosines = self.index.among_nearest(dims, weights, self.depth, i, sums)
+            if not len(best):
+                yield 0.0, 0.0, []
+                continue
+            share = float(shares(self.index.toxic[best], cosines)[-1])
+            score = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * share + self.offset))))
+            if score < threshold:
+                yield score, share, []
+                continue
+            by = np.lexsort((self.index.ids[best], -cosines))[:EVIDENCE]
+            best, cosines = best[by], cosines[by]
+            yield score, share, [{"example_id": int(self.index.ids[e]), "toxic": int(self.index.toxic[e]), "cosine": round(float(c), 6)} for e, c in zip(best, cosines)]
+
+
+def together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows, some at a time."""
+    rows = iter(rows)
+    while some := list(islice(rows, _TOGETHER)):
+        yield some
 
 
 def unit(dims: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,10 +349,10 @@ def learn(texts: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", lab
     toxic = np.array([y for _, y, _, _ in sample], np.int8)
     if not toxic.any() or toxic.all():
         return None
-    words = np.unique(np.concatenate([h for _, _, h, _ in sample]))
+    words = Words(np.unique(np.concatenate([h for _, _, h, _ in sample])))
     df, n = _document_frequencies(texts, words)
     idf = np.log((1 + n) / (1 + df)) ** IDF_POWER
-    vectors = [unit(np.searchsorted(words, h), c, idf) for _, _, h, c in sample]
+    vectors = [unit(words.find(h), c, idf) for _, _, h, c in sample]
     judge = Judge(words, idf, BlockMax(np.array([i for i, *_ in sample]), toxic, vectors, len(words)))
     del sample, vectors
     shared, at = texts.sparkSession.sparkContext.broadcast(judge), depths(len(toxic))
@@ -290,7 +360,8 @@ def learn(texts: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", lab
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i, y, h, c = (batch.column(k) for k in range(4))
-            own = [shared.value.own_shares(a, np.frombuffer(b.as_buffer(), np.uint64), np.frombuffer(d.as_buffer(), np.int32), at) for a, b, d in zip(i.to_pylist(), h, c)]
+            rows = ((a, np.frombuffer(b.as_buffer(), np.uint64), np.frombuffer(d.as_buffer(), np.int32)) for a, b, d in zip(i.to_pylist(), h, c))
+            own = [x for some in together(rows) for x in shared.value.own_shares(some, at)]
             yield pa.RecordBatch.from_arrays([y, pa.array(own, pa.list_(pa.float64()))], ["toxic", "shares"])
 
     # the loss over the examples is computed side by side
@@ -315,10 +386,10 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, ids = [], batch.column(0).to_pylist()
-            for row, words, counts in bags(batch.column(1)):
-                score, share, evidence = shared.value.verdict(ids[row], words, counts)
-                if evidence and score >= threshold:
-                    out.append({"doc_id": ids[row], "score": round(score, 6), "votes": round(share, 6), "evidence": evidence})
+            for some in together((ids[row], dims, counts) for row, dims, counts in shared.value.words.bags(batch.column(1))):
+                for (i, _, _), (score, share, evidence) in zip(some, shared.value.verdicts(some, threshold)):
+                    if evidence:
+                        out.append({"doc_id": i, "score": round(score, 6), "votes": round(share, 6), "evidence": evidence})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     # rows that repeat an id: the highest score counts

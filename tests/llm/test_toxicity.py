@@ -37,15 +37,15 @@ def test_block_max_is_exact(k):
     for q in range(0, n, 3):
         d = np.flatnonzero(dense[q])
         cosines = dense @ dense[q]
-        want = [i for i in sorted(range(n), key=lambda i: (-np.round(cosines[i], 6), i)) if cosines[i] > 0 and i != q][:k]
+        want = [i for i in sorted(range(n), key=lambda i: (-np.round(cosines[i], 9), i)) if cosines[i] > 0 and i != q][:k]
         best, got = index.nearest(d, dense[q][d], k, without=q)
         assert len(best) == len(want) and np.allclose(got, cosines[index.ids[best]], atol=1e-6)
         assert np.allclose(got, cosines[want], atol=2e-6)
         assert all(a == b or abs(cosines[a] - cosines[b]) < 2e-6 for a, b in zip(index.ids[best].tolist(), want))
 
 
-def test_most_blocks_are_not_scored():
-    """Examples of two languages: the blocks of the other one can't be near."""
+def test_examples_of_a_language_are_together():
+    """The blocks of another language can be left out."""
     rng = np.random.default_rng(2)
     vectors = []
     for i in range(640):
@@ -117,11 +117,23 @@ def test_matches_brute_force(spark):
 
 def test_document_frequencies(spark):
     texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7 + 1)) + " W0") for i in range(50)] + [(60, "")], "id long, t string").select("id", F.lower("t").alias("t"))
-    words = np.sort(np.concatenate([h for _, h, _ in t.bags(pa.array([" ".join(f"w{j}" for j in range(9))]))]))
+    words = t.Words(np.sort(np.concatenate([h for _, h, _ in t.bags(pa.array([" ".join(f"w{j}" for j in range(9))]))])))
     df, n = t._document_frequencies(texts.repartition(5), words)
     assert n == 51 and sorted(df.tolist()) == sorted([sum(i % 7 >= j for i in range(50)) for j in range(9)])
 
 
+def test_words_are_found_by_hash():
+    rng = np.random.default_rng(4)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000, np.uint64), np.arange(40, dtype=np.uint64)]))  # some share their heads
+    words = t.Words(hashes)
+    asked = np.concatenate([hashes[::7], rng.integers(0, 1 << 63, 500, np.uint64)])
+    assert words.find(asked).tolist() == [int(np.searchsorted(hashes, h)) if h in set(hashes.tolist()) else -1 for h in asked.tolist()]
+    column = pa.array(["b a b c", "", "zz", "a " * 70_000 + "c"])
+    own = t.Words(np.sort(np.concatenate([h for _, h, _ in t.bags(pa.array(["a b c d"]))])))
+    name = {int(own.find(h)[0]): w for w in "abcd" for _, h, _ in t.bags(pa.array([w]))}
+    assert [(row, {name[d]: c for d, c in zip(dims.tolist(), counts.tolist())}) for row, dims, counts in own.bags(column)] == [(0, {"a": 1, "b": 2, "c": 1}), (3, {"a": 70_000, "c": 1})]
+
+
 def test_edges(spark):
     docs, truth = corpus(7, 300)
     rows = [*((i, x, "", 0) for i, x in docs), (None, docs[0][1], "", 0), (500, None, "", 0), (501, "", "", 0), (502, "bad1 bad2 bad3 bad1 bad4 " * 40_000, "", 0), (0, docs[0][1], "", 0), (503, "?!", "", 0)]
