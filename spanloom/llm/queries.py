@@ -48,7 +48,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
 def op10_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ SELECT doc_id, item_id, count(DISTINCT gram) AS n_grams FROM texts JOIN grams ON
     "op5_exact_dedup": """
 SELECT DISTINCT doc_id, keep_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text), text) AS keep_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) WHERE doc_id <> keep_id""",
     "op10_captures": r"""
-WITH p AS (SELECT page_id, lower(regexp_extract(url, '{url}', 1)) AS host, regexp_extract(url, '{url}', 2) AS port, regexp_extract(url, '{url}', 3) AS path, regexp_extract(url, '{url}', 4) AS query
+WITH p AS (SELECT page_id, md5(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS n_chars, lower(regexp_extract(url, '{url}', 1)) AS host, regexp_extract(url, '{url}', 2) AS port, regexp_extract(url, '{url}', 3) AS path, regexp_extract(url, '{url}', 4) AS query
   FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL)
-SELECT array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN port IN (':80', ':443', ':') THEN '' ELSE port END || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query AS urlkey, page_id FROM p""".replace("{url}", capture_index.URL),
+SELECT array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN port IN (':80', ':443', ':') THEN '' ELSE port END || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query AS urlkey, page_id, digest, n_chars FROM p""".replace("{url}", capture_index.URL),
 }

@@ -61,7 +61,7 @@ def word_ranges(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     mark[1:-1] = _SPACE[text]
     begins, ends = np.flatnonzero(~mark[1:-1] & mark[:-2]), np.flatnonzero(~mark[1:-1] & mark[2:]) + 1
     inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < len(text))]
+    inner = inner[(inner > 0) & (inner < len(text)) & (inner != offsets[:-2])]  # once, where empty texts follow
     cut = inner[~_SPACE[text[inner]] & ~_SPACE[text[inner - 1]]] if len(inner) else inner
     if len(cut):
         begins, ends = np.sort(np.concatenate([begins, cut])), np.sort(np.concatenate([ends, cut]))
@@ -266,7 +266,11 @@ def _repeat_rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, block: int = BLOCK, bits: int = 64) -> DataFrame:
-    """Rows (doc_id, start, words, ref_id, ref_start): the words of doc_id from start are those of ref_id from ref_start; maximal."""
+    """Rows (doc_id, start, words, ref_id, ref_start, first): the words of doc_id from start are those of ref_id from ref_start; maximal.
+
+    first is false for a place that repeats its reference. Each reference is listed too, once for each length, with the smallest
+    of the places that repeat it and first true: so every document that holds a repeat is a doc_id, and those to cut are not first.
+    """
     if least < 2 * block - 1:
         raise ValueError("least must be at least 2 * block - 1, or a repeat may hold no whole block")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -283,7 +287,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     covered = first.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("words")).alias("end")))).alias("covered"))
     again = bodies.join(covered, "id", "left").select("id", "t", "at", "covered")
     longer = _places(again, parts, _windows(parts, least, None, _uncovered(block, least), bits), _hits(None))
-    return first.unionAll(_maximal(longer.where("ref is not null"), bodies, least, least)).distinct()
+    found = store(first.unionAll(_maximal(longer.where("ref is not null"), bodies, least, least)).distinct(), "repeats")
+    heads = found.groupBy("ref_id", "ref_start", "words").agg(F.min(F.struct("doc_id", "start")).alias("m"))
+    mirrored = heads.select(F.col("ref_id").alias("doc_id"), F.col("ref_start").alias("start"), "words", F.col("m.doc_id").alias("ref_id"), F.col("m.start").alias("ref_start"), F.lit(True).alias("first"))
+    return found.withColumn("first", F.lit(False)).unionAll(mirrored)
 
 
 def _uncovered(block: int, least: int):

@@ -146,6 +146,29 @@ def test_simhash_copies_are_members(spark):
     assert linked(rows, got) == want and len(got) < len(want)
 
 
+def test_simhash_groups_and_links(spark):
+    rng = random.Random(8)
+    rows = near_corpus(7, 30)
+    rows += [(len(rows) + k, " ".join(rng.sample(t.split(), len(t.split()))).upper()) for k, (_, t) in enumerate(rows[:25] * 3)]
+    rows += [(9000, None), (9001, ""), (None, rows[0][1]), (rows[3][0], rows[3][1])]
+    pairs = brute_near([r for r in rows[:-1] if r[0] is not None])
+    links, root = defaultdict(int), {}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        root.setdefault(a, a), root.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    got = sorted(map(tuple, simhash.near_groups(docs_of(spark, rows)).collect()))
+    assert got == sorted((i, root[i], links[i]) for i in links) and len(got) > 60
+    assert simhash.near_groups(docs_of(spark, [])).count() == 0
+
+
 def test_simhash_large_buckets():
     groups = np.arange(2 * 1500).reshape(2, 1500)
     assert sum(len(x) for x, _ in simhash._groups_pairs(groups)) == 1500 * 1499
@@ -155,6 +178,10 @@ def test_words_never_span_texts():
     data = np.frombuffer(b"abcabc", np.uint8)
     hashes, at = simhash.word_hashes(data, np.array([0, 3, 6]))
     assert at.tolist() == [0, 1, 2] and hashes[0] == hashes[1]
+    hashes, at = simhash.word_hashes(data, np.array([0, 0, 3, 3, 3, 6, 6]))
+    assert at.tolist() == [0, 0, 1, 1, 1, 2, 2] and hashes[0] == hashes[1] and len(hashes) == 2
+    begins, ends, at = substring_dedup.word_ranges(data, np.array([0, 3, 3, 3, 6]))
+    assert begins.tolist() == [0, 3] and ends.tolist() == [3, 6] and at.tolist() == [0, 1, 1, 1, 2]
 
 
 def test_components(spark):
@@ -210,7 +237,7 @@ def test_repeats_cover_what_brute_force_finds(spark, seed, bits):
         # maximal: neither side can be longer
         assert not (r.start and r.ref_start and a[r.start - 1] == b[r.ref_start - 1])
         assert r.start + r.words == len(a) or r.ref_start + r.words == len(b) or a[r.start + r.words] != b[r.ref_start + r.words]
-        cover |= {(r.doc_id, r.start + k) for k in range(r.words)} | {(r.ref_id, r.ref_start + k) for k in range(r.words)}
+        cover |= {(r.doc_id, r.start + k) for k in range(r.words)}
     assert cover == want
 
 
@@ -220,7 +247,9 @@ def test_repeats_of_long_texts_and_popular_references(spark):
     passage, long = make(60), make(30_000)
     rows = [(0, " ".join(long + passage + make(200))), (1, " ".join(make(40) + long[20_000:] + make(10)))]
     rows += [(i, " ".join(make(20) + passage + make(20))) for i in range(2, 700)]  # more than one group of requests for one reference
-    got = substring_dedup.repeats(docs_of(spark, rows)).collect()
+    every = substring_dedup.repeats(docs_of(spark, rows)).collect()
+    got = [r for r in every if not r.first]
+    assert {r.doc_id for r in every if r.first} == {r.ref_id for r in got} and all((r.ref_id, r.ref_start, r.words, r.doc_id, r.start) in {tuple(x)[:5] for x in got} for r in every if r.first)
     assert {r.doc_id for r in got if r.words >= 60 and r.ref_id == 0} == set(range(1, 700))
     assert max(r.words for r in got if r.doc_id == 1) == 10_000
     assert sum(r.ref_id == 0 for r in got) == 699 and len(got) < 3 * 699  # besides, some share the next word by chance
@@ -229,7 +258,7 @@ def test_repeats_of_long_texts_and_popular_references(spark):
 def test_repeats_of_an_id_with_differing_texts(spark):
     text = " ".join(f"v{i}" for i in range(80))
     rows = [(1, text), (1, "zz " + text), (2, text)]
-    got = [(r.doc_id, r.ref_id, r.words) for r in substring_dedup.repeats(docs_of(spark, rows)).collect()]
+    got = [(r.doc_id, r.ref_id, r.words) for r in substring_dedup.repeats(docs_of(spark, rows)).collect() if not r.first]
     assert got == [(2, 1, 80)]
 
 
