@@ -1,16 +1,21 @@
 """PII surrogates: every detected entity is replaced by a keyed one of its type, script, gender and format.
 
-Types: email, phone, card (13-19 digits that pass the Luhn check), ssn, iban (checked), ipv4, and person names (after a form of address, or a
-listed given name with a capitalised surname). A surrogate depends on the key, the type and the entity's canonical form alone, so
+Types: email, phone (international, compact or grouped, and national forms with an area code), card (13-19 digits that pass the Luhn check), ssn,
+iban (checked), ipv4, ipv6, birth (a date after a word of birth), street address (number and street), and person names: after a form of
+address, after a cue ("name:", "I am", "Dear", ...), or a listed given name with a capitalised surname. Names without any of these are not
+told from other capitalised words. A surname that was found is also replaced where it stands alone in the same text.
+A surrogate depends on the key, the type and the entity's canonical form alone, so
 one entity has one surrogate wherever it occurs and however it is written, while its writing (digit groups, letter case, script) is kept.
-Names are replaced word by word, given names within their gender and script, so that a later mention of the surname alone stays the same person.
+Names are replaced word by word, given names within their gender (either, where it isn't known) and script.
 
 Collision checks cover the whole corpus: distinct entities and their surrogates are collected by type; where two entities
 would share a surrogate, or a surrogate is itself an entity of the corpus, the later one (by canonical form) takes its next
-surrogate, until none is left. Only these exceptions are shipped to the rewriting pass, in a map if few, else joined by document.
+surrogate, until none is left. Later surrogates come from larger spaces (longer names, all addresses, more years), and from the
+GIVE_UP-th on only distinctness counts, so a space that the corpus fills doesn't stop it. Only these exceptions are shipped to the rewriting pass, by a join on
+the entities of each document, so their number is not bounded by a task's memory.
 
-Defined results: null texts stay null, empty ones empty; ids may be null or repeat, rows are rewritten each on its own; other columns
-are ignored; overlapping candidates go to the earlier, then the longer, then the first type listed above.
+Defined results: null texts stay null, empty ones empty; ids may be null or repeat, rows are rewritten each on its own; very long texts are read whole; other columns
+are ignored, whatever their names; overlapping candidates go to the earlier, then the longer, then the first type listed above; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import store, unused
+from spanloom.llm.common import small, store, trimmed
 
 #: For tests and demonstrations; a production run passes its own secret.
 DEMO_KEY = b"spanloom demonstration key"
-MOST_EXCEPTIONS = 100_000
-MOST_ATTEMPTS = 1000
+GIVE_UP = 24
 
 GIVEN = {
     ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Kenneth Kevin Brian George Edward Ronald Timothy Jason Jeffrey Jacob Nicholas Eric Jonathan Stephen Larry Scott Frank Raymond Gregory Patrick Peter Hans Klaus Jürgen Wolfgang Pierre Jacques François Antoine José Carlos Miguel Javier Fernando Diego".split(),
@@ -40,7 +44,12 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Δημήτρης Κώστας Γιάννης Νίκος Παναγιώτης Βασίλης Χρήστος".split(),
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Βασιλική Σοφία Αγγελική Γεωργία Δήμητρα".split(),
 }
-_GENDER = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
+#: Further given names that are recognised; their surrogates come from the lists above.
+KNOWN = {
+    "m": "Ali Ahmed Mohammed Muhammad Omar Hassan Ibrahim Yusuf Khalid Raj Rahul Amit Arjun Vikram Sanjay Anil Suresh Wei Jun Ming Hao Lei Hiroshi Kenji Takashi Haruto Minho Jisoo Kwame Kofi Chinedu Emeka Tunde Luca Marco Giovanni Matteo Andreas Stefan Jens Lars Erik Johan Henrik Piotr Tomasz Pavel Luis Jorge Pedro Pablo Alejandro Manuel Louis Henri Alexander Benjamin Samuel Henry Jack Oliver Harry Noah Liam Ethan Lucas Adam Alan Bruce Carl Dennis Douglas Gary Gerald Harold Jerry Keith Philip Ralph Roger Ronald Roy Russell Walter Wayne".split(),
+    "f": "Aisha Fatima Zainab Leila Yasmin Priya Ananya Anjali Deepa Kavita Lakshmi Sunita Mei Ling Xiu Yan Hua Yuki Sakura Aiko Haruka Soyeon Amina Ngozi Adaeze Abena Giulia Chiara Francesca Sofia Ingeborg Astrid Freya Karin Annika Agnieszka Katarzyna Ewa Ana Lucia Gabriela Valentina Camila Juliette Céline Claire Emma Olivia Ava Isabella Mia Charlotte Amelia Grace Alice Amy Diana Evelyn Frances Gloria Helena Irene Jane Janet Joan Joyce Judith Julia Julie Kelly Laurie Martha Megan Rachel Ruth Teresa Theresa Virginia Wendy".split(),
+}
+_GENDER = {n.lower(): g for (_, g), names in GIVEN.items() for n in names} | {n.lower(): g for g, names in KNOWN.items() for n in names}
 _FORMS = {"mr": "m", "mrs": "f", "ms": "f", "miss": "f", "herr": "m", "frau": "f", "monsieur": "m", "madame": "f", "mme": "f", "señor": "m", "señora": "f", "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f"}
 _SYLLABLES = {
     "latin": ["bar", "ben", "cor", "dal", "den", "fal", "gar", "hol", "kel", "lan", "mar", "mon", "nor", "per", "ral", "ros", "sel", "tan", "ver", "wil"],
@@ -55,10 +64,18 @@ CARD = re.compile(r"(?<![\d.,-])\d(?:[ -]?\d){12,18}(?![\d-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
 SSN = re.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
 IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
-PHONE = re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")
+PHONE = re.compile(
+    r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|(?:1 )?\d{3} \d{3} \d{4}|1-8\d\d-\d{3}-\d{4}"
+    r"|\(0\d{1,4}\) ?\d{3,8}(?:[ -]\d{2,5})?|0\d{2,4} \d{3,4} ?\d{3,4})(?![\w-])"
+)
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}){0,7}:{0,2}(?![\w:.])")
+BIRTH = re.compile(r"(?i:\b(?:born|dob|d\.o\.b\.|date of birth|birth ?date|birthday|geboren|né|née|nacid[oa])(?: (?:on|am|le|el|is))?\s?:?\s?)(?P<v>\d{4}-\d{1,2}-\d{1,2}|\d{1,2}([./-])\d{1,2}\2\d{4})(?!\d)")
+STREET = re.compile(r"(?<![\w.,-])(?P<n>\d{1,5}) (?P<s>(?:[A-ZÀ-ÖØ-Þ][\w'’-]{1,30} ){1,3})(?P<k>Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Way)\b")
 _ALL_FORMS = sorted({w for f in _FORMS for w in (f, f.capitalize(), f.upper())})
-_ALL_GIVEN = sorted({w for v in GIVEN.values() for n in v for w in (n, n.upper())}, key=lambda n: (-len(n), n))
+_ALL_GIVEN = sorted({w for v in (*GIVEN.values(), *KNOWN.values()) for n in v for w in (n, n.upper())}, key=lambda n: (-len(n), n))
 NAME = re.compile(rf"(?<!\w)(?:(?P<form>{'|'.join(_ALL_FORMS)})\.? +(?P<a>{_NAME})(?: +(?P<b>{_NAME}))?|(?P<c>{'|'.join(_ALL_GIVEN)}) +(?P<d>{_NAME}))(?!\w)")
+CUE = re.compile(rf"(?:\b(?i:name(?: is)?|i am|i['’]m|dear|attn|contact|signed|sincerely|regards|author)\s?[:,]?)\s(?P<a>{_NAME}) +(?P<b>{_NAME})(?: +(?P<c>{_NAME}))?(?!\w)")
+_CUES = re.compile(r"(?i)\b(?:name|i am|i['’]m|dear|attn|contact|signed|sincerely|regards|author)\b")
 #: Any text with a name has one of these words; sets of words are compared much faster than the pattern.
 _WORDS = re.compile(r"[^\W\d_]+")
 _NAME_SIGNS = frozenset(_ALL_FORMS + _ALL_GIVEN)
@@ -89,7 +106,19 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         for m in EMAIL.finditer(text):
             add(0, *m.span(), "email", m.group().lower())
+    if ":" in text and "::" in text or text.count(":") > 2:
+        for m in IPV6.finditer(text):
+            if sum(c != ":" for c in m.group()) < 6:  # a::b is more often code
+                continue
+            try:
+                add(5, *m.span(), "ipv6", ipaddress.IPv6Address(m.group()).compressed)
+            except ValueError:
+                pass
     if _DIGIT.search(text):
+        for m in BIRTH.finditer(text):
+            add(6, *m.span("v"), "birth", re.sub(r"\D", "-", m["v"]))
+        for m in STREET.finditer(text):
+            add(6, m.start("n"), m.end("s") - 1, "street", f"{m['n']} {m['s'].strip().lower()}")
         for m in PHONE.finditer(text):
             d = re.sub(r"\D", "", m.group())
             if 8 <= len(d) <= 15:
@@ -106,21 +135,35 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 add(4, *m.span(), "iban", c)
         for m in IPV4.finditer(text):
             add(5, *m.span(), "ipv4", str(ipaddress.IPv4Address(int.from_bytes(bytes(map(int, m.group().split("."))), "big"))))
-    if not _NAME_SIGNS.isdisjoint(_WORDS.findall(text)):
+    words = _WORDS.findall(text)
+    named: dict[str, str] = {}
+
+    def add_name(m: re.Match, gender: str, given: str | None, *surnames: str) -> None:
+        if given:
+            add(7, *m.span(given), f"given-{gender}", m[given].lower())
+        for group in surnames:
+            if m[group]:
+                add(7, *m.span(group), f"surname-{gender}", m[group].lower())
+                named.setdefault(m[group], gender)
+
+    if not _NAME_SIGNS.isdisjoint(words):
         for m in NAME.finditer(text):
             if m["form"]:
                 gender = _FORMS[m["form"].lower()]
-                if m["b"]:
-                    add(6, *m.span("a"), f"given-{gender}", m["a"].lower())
-                    add(6, *m.span("b"), f"surname-{gender}", m["b"].lower())
-                elif m["a"].lower() in _GENDER:
-                    add(6, *m.span("a"), f"given-{gender}", m["a"].lower())
+                if m["b"] or m["a"].lower() in _GENDER:
+                    add_name(m, gender, "a", "b")
                 else:
-                    add(6, *m.span("a"), f"surname-{gender}", m["a"].lower())
+                    add_name(m, gender, None, "a")
             else:
-                gender = _GENDER[m["c"].lower()]
-                add(6, *m.span("c"), f"given-{gender}", m["c"].lower())
-                add(6, *m.span("d"), f"surname-{gender}", m["d"].lower())
+                add_name(m, _GENDER[m["c"].lower()], "c", "d")
+    if _CUES.search(text):
+        for m in CUE.finditer(text):
+            if m["a"].lower() not in _FORMS:
+                add_name(m, _GENDER.get(m["a"].lower(), "u"), "a", "b", "c")
+    # a surname that was found, standing alone elsewhere in the text
+    for word, gender in named.items():
+        for m in re.finditer(rf"(?<![\w'’-]){re.escape(word)}(?![\w'’-])", text) if words.count(word) > 1 or not word.isalpha() else ():
+            add(8, *m.span(), f"surname-{gender}", word.lower())
     taken, end = [], -1
     for begin, minus, _, kind, canonical in sorted(out):
         if begin >= end:
@@ -153,7 +196,7 @@ class Surrogates:
             return f"{''.join(parts)}-{n % 36**4:x}@{_word('latin', d, 3)}.example"
         if kind == "phone":
             plus, d = ("+", value[1:]) if value[0] == "+" else ("", value)
-            country = d[: max(0, len(d) - 10)] if plus else ""
+            country = d[: max(0, len(d) - 10)] if plus else d[:1] if d[0] in "01" else ""  # or the digit dialled before an area code
             rest = d[len(country) :]
             out = "".join(str((n >> (8 * i)) % 10) for i in range(len(rest)))
             return plus + country + "23456789"[(n >> 200) % 8] + out[1:]
@@ -165,19 +208,32 @@ class Surrogates:
         if kind == "iban":
             body = "".join(str((n >> (8 * i)) % 10) if c.isdigit() else chr(65 + (n >> (8 * i)) % 26) for i, c in enumerate(value[4:]))
             return f"{value[:2]}{98 - int(''.join(str(int(c, 36)) for c in body + value[:2] + '00')) % 97:02d}{body}"
+        if kind == "ipv6":
+            return ipaddress.IPv6Address((0x20010DB8 << 96) | n % (1 << 96)).compressed  # the network that is kept for examples
+        if kind == "birth":
+            parts = value.split("-")
+            year = parts[0] if len(parts[0]) == 4 else parts[-1]
+            wide = 120 if attempt < 8 else 2000
+            others = iter(f"{1 + (n >> (16 * i)) % 12:0{len(p)}d}"[-2:] if int(p) <= 12 else f"{13 + (n >> (16 * i)) % 16:02d}" for i, p in enumerate(p for p in parts if p is not year))
+            return "-".join(f"{(1900 if attempt < 8 else 1000) + (n >> 64) % wide:04d}" if p is year else next(others) for p in parts)
+        if kind == "street":
+            number, name = value.split(" ", 1)
+            return f"{str(1 + n % 9)}{''.join(str((n >> (8 * i)) % 10) for i in range(1, len(number)))} " + " ".join(_word("latin", n >> (64 + 48 * i), 3 + attempt // 16) for i in range(len(name.split(" "))))
         if kind == "ipv4":
             ip = ipaddress.IPv4Address(value)
+            if attempt >= 8 and ip.is_private:
+                return str(ipaddress.IPv4Address((10 << 24) + 1 + n % ((1 << 24) - 2)))
             for net in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"):
                 if ip in (network := ipaddress.ip_network(net)):
                     return str(network[1 + n % (network.num_addresses - 2)])
             return f"{(11 + n % 89) if n >> 250 & 1 else (128 + n % 40)}.{(n >> 16) % 256}.{(n >> 32) % 256}.{1 + (n >> 48) % 254}"
         script, gender = script_of(value), kind[-1]
         if kind.startswith("given"):
-            names = GIVEN[script, gender]
+            names = GIVEN[script, gender] if gender != "u" else GIVEN[script, "m"] + GIVEN[script, "f"]
             first = names[n % len(names)].lower()
             # the list is short: further names are double ones
-            return first if attempt == 0 else f"{first}-{names[(n >> 64) % len(names)].lower()}" if attempt < 8 else f"{first}-{_word(script, n >> 64, 2 + attempt // 16)}"
-        return _word(script, n, 3 + attempt // 16) + _ENDS[script, gender]
+            return first if attempt == 0 else f"{first}-{names[(n >> 64) % len(names)].lower()}" if attempt < 8 else f"{first}-{_word(script, n >> 64, 2 + attempt // 8)}"
+        return _word(script, n, 3 + attempt // 8) + _ENDS[script, gender if gender != "u" else "m"]
 
     @staticmethod
     def _like(c: str, n: int) -> str:
@@ -189,8 +245,13 @@ class Surrogates:
         if kind in ("phone", "card", "ssn", "iban"):
             new = iter(canonical.lstrip("+") if kind == "phone" else canonical)
             return "".join(next(new) if c.isalnum() else c for c in as_text)
-        if kind == "ipv4":
-            return canonical
+        if kind in ("ipv4", "ipv6"):
+            return canonical.upper() if as_text.isupper() else canonical
+        if kind == "birth":
+            new = iter(canonical.split("-"))
+            return re.sub(r"\d+", lambda m: next(new), as_text)
+        if kind == "street":
+            return canonical.upper() if as_text.isupper() else canonical.title()
         if as_text.isupper() and len(as_text) > 1:
             return canonical.upper()
         if kind == "email":
@@ -231,64 +292,55 @@ def exceptions_of(found: DataFrame, key: bytes) -> DataFrame:
     schema = "kind string, value string, attempt int, surrogate string"
     values = found.select(_domain(F.col("kind")).alias("domain"), F.col("value").alias("surrogate")).distinct()
     now = store(found.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(surrogate, schema), "surrogates")
-    for _ in range(MOST_ATTEMPTS):
+    while True:
         # the entity that keeps a surrogate: the one that has it longest, then the first
         rank = F.row_number().over(Window.partitionBy(_domain(F.col("kind")), "surrogate").orderBy("attempt", "value", "kind"))
         ranked = now.withColumn("domain", _domain(F.col("kind"))).withColumn("rank", rank)
         taken = ranked.join(values.withColumn("real", F.lit(True)), ["domain", "surrogate"], "left")
-        again = taken.select("kind", "value", "attempt", "surrogate", (F.col("real").isNotNull() | (F.col("rank") > 1)).alias("again"))
+        again = taken.select("kind", "value", "attempt", "surrogate", ((F.col("real").isNotNull() & (F.col("attempt") < GIVE_UP)) | (F.col("rank") > 1)).alias("again"))
         again = store(again, "collisions")
         if again.where("again").isEmpty():
             return now.where("attempt > 0").select("kind", "value", "attempt")
         moved = again.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(surrogate, schema)
         now = store(again.where("not again").select("kind", "value", "attempt", "surrogate").unionAll(moved), "surrogates")
-    raise ValueError(f"no distinct surrogates after {MOST_ATTEMPTS} attempts")
 
 
-def surrogate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEMO_KEY, most_exceptions: int = MOST_EXCEPTIONS) -> DataFrame:
-    """Rows (doc_id, text, replaced) of all documents: the text with surrogates, and how many entities were replaced."""
+def surrogate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEMO_KEY) -> DataFrame:
+    """Rows (doc_id, text, replaced) of all documents: the text with surrogates, and how many entities were replaced.
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = {(k, v) for text in batch.column(0).to_pylist() for _, _, k, v in entities(text)}
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(found))], ["kind", "value"])
-
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = store(texts.where("text is not null").select("text").mapInArrow(find, "kind string, value string").distinct(), "entities")
-    exceptions = store(exceptions_of(found, key), "exceptions")
-    make = Surrogates(key)
-    if exceptions.count() <= most_exceptions:
-        shared = {(r["kind"], r["value"]): r["attempt"] for r in exceptions.collect()}
-        return _rewritten(texts, make, shared)
-    # too many for a map in every task: each document gets its own, by a join on entities
-    row = unused(texts, "row_digest")
-    named = texts.withColumn(row, F.sha2(F.coalesce("text", F.lit("")), 256))
+    Documents that mention an exception get it by a join on their digest: broadcast if they are few, else by a shuffle of the texts.
+    """
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {(d, k, v) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for _, _, k, v in entities(text)}
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(rows))], [row, "kind", "value"])
-
-    own = named.where("text is not null").select(row, "text").mapInArrow(mentions, f"{row} string, kind string, value string").distinct().join(exceptions, ["kind", "value"])
-    own = own.groupBy(row).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("exceptions"))
-    return _rewritten(named.join(own, row, "left").select("doc_id", "text", "exceptions"), make, {})
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(rows))], ["digest", "kind", "value"])
 
-
-def _rewritten(texts: DataFrame, make: Surrogates, shared: dict[tuple[str, str], int]) -> DataFrame:
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    digest = F.md5("text")
+    own = store(texts.where("text is not null").select(digest.alias("digest"), "text").mapInArrow(trimmed(mentions), "digest string, kind string, value string").distinct(), "entities")
+    exceptions = store(exceptions_of(own.select("kind", "value").distinct(), key), "exceptions")
+    each = own.join(exceptions, ["kind", "value"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("exceptions"))
+    each = store(each, "exceptions")
+    make, n = Surrogates(key), each.count()
+    if not n:
+        return _rewritten(texts.withColumn("exceptions", F.lit(None).cast("array<struct<kind: string, value: string, attempt: int>>")), make)
+    return _rewritten(texts.join(small(each.withColumnRenamed("digest", "own_digest"), n), digest == F.col("own_digest"), "left").select("doc_id", "text", "exceptions"), make)
+
+
+def _rewritten(texts: DataFrame, make: Surrogates) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new, counts = [], []
-            own = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for text, mine in zip(batch.column(1).to_pylist(), own):
+            for text, mine in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if text is None:
                     new.append(None)
                     counts.append(0)
                     continue
-                t, kinds = rewrite(text, make, {(e["kind"], e["value"]): e["attempt"] for e in mine} if mine else shared)
+                t, kinds = rewrite(text, make, {(e["kind"], e["value"]): e["attempt"] for e in mine or ()})
                 new.append(t)
                 counts.append(len(kinds))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(counts, pa.int32())], ["doc_id", "text", "replaced"])
 
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, replaced int")
+    return texts.mapInArrow(trimmed(run), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string, replaced int")
