@@ -9,8 +9,10 @@ expectation by less than 1, and so does the total.
 
 All draws come from hashes of ids and the seed: a task that runs again draws the same, whatever the partitions.
 
-Defined results: null ids are left out; a null source is a source of its own; null sizes count 0, and a source without size
-gets no copies; rows that share id and source are one unit (sizes added) and get the same copies; other columns are ignored.
+Defined results: null ids are left out; a null source is a source of its own; null, negative and NaN sizes count 0, infinite ones are an error, and a source without size
+gets no copies; weights are numbers of 0 and more (else an error), all of them 0 give no copies; rows that share id and source are one unit (sizes added) and get the same
+copies; units of a leaf are rounded in the order of a hash, equal hashes in that of ids; texts are not read, however long; other columns are ignored, whatever their
+names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import small, store, unused
+from spanloom.llm.common import small, store, trimmed, unused
 
 LEAF = 8192
 FAN = 64
@@ -91,12 +93,16 @@ def target_rates(units: DataFrame, weights: dict[str | None, float] | None = Non
     weights: share of each source (of 1 together, or scaled to it; absent sources get 0); without them, size ** alpha, scaled.
     total: size of the mixture; without it, that of all sources.
     """
+    if weights is not None and not all(isinstance(v, (int, float)) and 0 <= v < float("inf") for v in weights.values()):
+        raise ValueError("weights must be numbers of 0 and more")
+    if total is not None and not 0 <= total < float("inf"):
+        raise ValueError("total must be a number of 0 and more")
     sizes = units.groupBy("source").agg(F.count("*").alias("documents"), F.sum("size").alias("size"))
     if weights is None:
         share: Column = F.pow(F.col("size"), F.lit(alpha))
         sums = sizes.agg(F.sum("size").alias("all_size"), F.sum(share).alias("all_share"))
     else:
-        sum_w = float(sum(weights.values()))
+        sum_w = float(sum(weights.values())) or 1.0
         named = sizes.sparkSession.createDataFrame([(k, float(v) / sum_w) for k, v in weights.items()] or [("", 0.0)], "name string, w double")
         sizes = sizes.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
         share = F.coalesce("w", F.lit(0.0))
@@ -106,9 +112,14 @@ def target_rates(units: DataFrame, weights: dict[str | None, float] | None = Non
     return sizes.crossJoin(F.broadcast(sums)).select("source", "documents", "size", rate.alias("rate"))
 
 
+def _size(column: Column) -> Column:
+    x = F.nanvl(F.coalesce(column.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.when(x == float("inf"), F.raise_error(F.lit("a size is infinite")).cast("double")).otherwise(F.greatest(x, F.lit(0.0)))
+
+
 def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_chars", alpha: float = ALPHA, total: float | None = None, seed: int = SEED, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """Rows (doc_id, source, copies) of every document: how often it is in the mixture, 0 included."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(size_col).cast("double"), F.lit(0.0)).alias("size")).where("id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), _size(F.col(size_col)).alias("size")).where("id is not null")
     units = store(rows.groupBy("id", "source").agg(F.sum("size").alias("size")), "units")
     rates = store(target_rates(units, weights, alpha, total).withColumnRenamed("source", "name").drop("size"), "rates")
     rated = units.join(small(rates, rates.count()), F.col("source").eqNullSafe(F.col("name")))
