@@ -9,7 +9,8 @@ Patterns are built on the driver in shards of up to `shard_bytes`, each searched
 shard. Documents are read once per shard and never shuffled.
 
 Defined results: null or empty texts and null ids match nothing; null items and items of too few words hold no pattern; a gram that
-several items share counts for each; repeated rows of a document or an item count once; other columns are ignored.
+several items share counts for each; repeated rows of a document or an item count once; very long texts are searched whole; other columns are
+ignored, whatever their names; an empty table of documents or items matches nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import pieces, unused, utf8
+from spanloom.llm.common import pieces, trimmed, unused, utf8
 
 NGRAM = 10
 LEAST_WORDS = 5
@@ -100,11 +101,12 @@ class WuManber:
 
 def _searcher(items: list[tuple[int, str]], ngram: int, least_words: int, shard_bytes: int) -> list[tuple[WuManber, list[list[int]]]]:
     """Shards of (tables, item ids of each pattern)."""
+    if least_words < 4:
+        raise ValueError(f"least_words must be at least 4, or a pattern may have fewer than {BLOCK} bytes")
     owners: dict[bytes, set[int]] = defaultdict(set)
     for item, text in items:
         for g in grams(text, ngram, least_words):
-            if len(g.encode()) >= BLOCK:
-                owners[g.encode()].add(item)
+            owners[g.encode()].add(item)
     shards, now, size = [], [], 0
     for p in sorted(owners):
         if now and size + len(p) > shard_bytes:
@@ -144,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(rows))], ["doc_id", "item_id", "pattern"])
 
-        part = texts.mapInArrow(run, "doc_id long, item_id long, pattern long")
+        part = texts.mapInArrow(trimmed(run), "doc_id long, item_id long, pattern long")
         # within one document an item's pattern is counted once, also where rows of a document repeat
         part = part.groupBy("doc_id", "item_id").agg(F.count_distinct("pattern").alias("n_grams"))
         out = part if out is None else out.unionAll(part)
@@ -165,5 +167,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                     keep[row] = False
                 yield batch.filter(pa.array(keep)).select(range(batch.num_columns - 1))
 
-        docs = docs.withColumn(key, F.coalesce(normalised(F.col(text_col)), F.lit(""))).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(key, F.coalesce(normalised(F.col(text_col)), F.lit(""))).mapInArrow(trimmed(run), docs.schema)
     return docs

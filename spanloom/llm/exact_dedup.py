@@ -6,7 +6,7 @@ stay apart: the comparison is that of Spark's grouping on the text itself.
 
 Defined results: a null text has no content and is never a copy; a null id can't be named and is left out; empty texts are
 copies of each other; among equal ids there is nothing to choose, so repeated rows of one id yield no pair; columns besides
-id and text don't count, whatever their names. An empty table yields no rows.
+id and text don't count, whatever their names; very long texts are digested and compared whole. An empty table yields no rows.
 """
 
 from __future__ import annotations
