@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from typing import ClassVar
 
 import numpy as np
 
@@ -13,7 +14,10 @@ CORPORA = {"pile": 210_607_728, "openwebtext": 8_013_769, "c4": 364_868_892}
 
 @dataclass(frozen=True)
 class BuildConfig:
-    """k hash functions; windows of at least t + 2 tokens; ids below doc_limit (None: all); tokens in [0, vocabulary)."""
+    """k hash functions; windows of at least t + 2 tokens; ids below doc_limit (None: all); tokens in [0, vocabulary); zone maps with
+    zones of zone_interval windows for the zone_lists longest lists of a function."""
+
+    SCHEMA: ClassVar[str] = "k int, t int, vocabulary int, doc_limit long, zone_interval int, zone_lists int, dataset string, first_seed int"
 
     k: int = 64
     t: int = 50

@@ -5,10 +5,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 STOP_HASH = 2_147_483_647
 
@@ -64,20 +62,28 @@ def hash_array(tokens: Column, a: int, b: int, stopwords: list[int] | None = Non
     return F.transform(tokens, lambda x: stopword_hash(x, F.lit(a), F.lit(b), stop(x)))
 
 
-@F.pandas_udf(LongType())
-def sequence_hash(arrays):
-    """One 64-bit number for each integer array: mixes of its values folded into a running seed, starting at its length."""
+_LOW32 = 0xFFFFFFFF
 
-    def fold(values) -> int:
-        seed = len(values)
-        mask = (1 << 64) - 1
-        for x in (int(v) for v in values):
-            for _ in range(2):
-                x = (((x >> 16) ^ x) * 0x45D9F3B) & 0xFFFFFFFF
-                x -= (x >> 31) << 32
-            x = (x >> 16) ^ x
-            seed ^= (((x + 0x9E3779B9) & 0xFFFFFFFF) + (seed << 6) + (seed >> 2)) & mask
-        return seed - ((seed >> 63) << 64)
 
-    # as objects: a null would turn the others into floats
-    return pd.Series([None if v is None else fold(v) for v in arrays], dtype=object)
+def _mixed32(x: Column) -> Column:
+    """One mixing step in wrapping signed 32 bits."""
+    y = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(0x45D9F3B)).bitwiseAND(F.lit(_LOW32))
+    return F.when(y >= 1 << 31, y - F.lit(1 << 32)).otherwise(y)
+
+
+def _sum64(a: Column, b: Column) -> Column:
+    """a + b in wrapping 64 bits, by halves: a plain sum raises an error where it overflows."""
+    low = a.bitwiseAND(F.lit(_LOW32)) + b.bitwiseAND(F.lit(_LOW32))
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW32)))
+
+
+def sequence_hash(tokens: Column | str) -> Column:
+    """One 64-bit number for each integer array: mixes of its values folded into a running seed, starting at its length. Null arrays have none."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    # step by step, so that no expression holds another more than a few times
+    x = F.transform(tokens, lambda v: v.cast("long"))
+    for _ in range(2):
+        x = F.transform(x, _mixed32)
+    x = F.transform(x, lambda v: (F.shiftright(v, 16).bitwiseXOR(v) + F.lit(0x9E3779B9)).bitwiseAND(F.lit(_LOW32)))
+    return F.aggregate(x, F.size(tokens).cast("long"), lambda seed, v: seed.bitwiseXOR(_sum64(_sum64(v, F.shiftleft(seed, 6)), F.shiftrightunsigned(seed, 2))))

@@ -33,27 +33,41 @@ def byte_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return one.withColumn("gap", gap).select(id_col, "pos", (F.sum(F.col("gap") + F.octet_length("word")).over(before) - F.octet_length("word")).cast("long").alias("byte_offset"))
 
 
+#: A word with more than this share of all words is frequent; there can't be more than HEAD of them.
+HEAD = 10_000
+
+
 def dictionary(*word_tables: DataFrame) -> DataFrame:
-    """(word, token) of the different words of tables with a word column: their ranks in binary order, from 0.
+    """(word, token, n) of the different words of tables with a word column: their ranks in binary order, from 0, and their numbers.
 
     Ranked by range partitions side by side and shifted by the sizes of those before, so no task sorts the whole vocabulary.
     """
     every = word_tables[0].select("word")
     for t in word_tables[1:]:
         every = every.unionAll(t.select("word"))
-    ordered = every.where("word is not null").distinct().repartitionByRange("word").select("word", F.spark_partition_id().alias("part"))
+    ordered = every.where("word is not null").groupBy("word").agg(F.count("*").alias("n")).repartitionByRange("word").select("word", F.col("n").alias("many"), F.spark_partition_id().alias("part"))
     ordered = materialise(ordered, "words")
     sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
     shifts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("word")) - 1
-    return ordered.withColumn("rank", rank).join(F.broadcast(shifts), "part").select("word", (F.col("rank") + F.col("shift")).cast("int").alias("token"))
+    return ordered.withColumn("rank", rank).join(F.broadcast(shifts), "part").select("word", (F.col("rank") + F.col("shift")).cast("int").alias("token"), F.col("many").alias("n"))
 
 
 def encode(placed: DataFrame, words_to_tokens: DataFrame, stopwords: DataFrame | None = None) -> DataFrame:
-    """(…, word) -> (…, token). Words of `stopwords` are left out and positions keep their gaps; see renumber()."""
+    """(…, word) -> (…, token). Words of `stopwords` are left out and positions keep their gaps; see renumber().
+
+    With a dictionary that has numbers (n), words of more than 1 / HEAD of all, at most HEAD of them, are looked up in a broadcast table
+    and never shuffled; no other word is so frequent that the shuffle of the rest would be skewed.
+    """
     if stopwords is not None:
         placed = placed.join(stopwords.select("word"), "word", "left_anti")
-    return placed.join(words_to_tokens, "word").drop("word")
+    if "n" not in words_to_tokens.columns:
+        return placed.join(words_to_tokens, "word").drop("word")
+    least = (words_to_tokens.agg(F.sum("n")).first()[0] or 0) / HEAD
+    head = words_to_tokens.where(F.col("n") > least).select("word", "token")
+    rest = words_to_tokens.where(F.col("n") <= least).select("word", "token")
+    known = placed.join(F.broadcast(head), "word").drop("word")
+    return known.unionByName(placed.join(F.broadcast(head), "word", "left_anti").join(rest, "word").drop("word"))
 
 
 def renumber(placed: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW_BYTES = 16
@@ -89,8 +89,30 @@ def zone_of(zones: DataFrame, places: DataFrame) -> DataFrame:
     return met.groupBy("h", "token", "doc_id").agg(F.max_by("offset", "first_doc").alias("offset"))
 
 
-def order_violations(windows: DataFrame) -> DataFrame:
-    """(violations): rows that come before their predecessor in a list, after the order (doc_id, c, l) that stored lists have."""
-    w = Window.partitionBy("h", "token").orderBy("doc_id", "c", "l")
-    keys = F.struct("doc_id", "c", "l")
-    return windows.withColumn("previous", F.lag(keys).over(w)).agg(F.count_if(F.col("previous") > keys).alias("violations"))
+def doc_offsets(windows: DataFrame, lists: DataFrame) -> DataFrame:
+    """(h, token, doc_id, n, offset): in each of the lists (h, token) the windows of a document, and the bytes before them in the list."""
+    counts = scan_lists(windows, lists).groupBy("h", "token", "doc_id").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("h", "token").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)) * ROW_BYTES)
+
+
+def full_doc_index(windows: DataFrame, vocabulary: int, k: int) -> DataFrame:
+    """doc_index with a row for each token of the vocabulary, empty lists included."""
+    spark = windows.sparkSession
+    domain = spark.range(k).select(F.col("id").cast("int").alias("h")).crossJoin(spark.range(vocabulary).select(F.col("id").cast("int").alias("token")))
+    return domain.join(doc_index(windows), ["h", "token"], "left").select("h", "token", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def in_zone_map(zones: DataFrame, lists: DataFrame) -> DataFrame:
+    """lists (h, token) with zoned: whether the list has a zone map."""
+    have = zones.select("h", "token").distinct().withColumn("has", F.lit(True))
+    return lists.select("h", "token").distinct().join(have, ["h", "token"], "left").select("h", "token", F.col("has").isNotNull().alias("zoned"))
+
+
+def order_violations(spark: SparkSession, path: str) -> DataFrame:
+    """(violations, windows) of a stored table of windows: rows that come before their predecessor in the same file, after the order
+    (token, doc_id, c, l) within a function that stored lists have; places of rows are those that the files themselves tell."""
+    rows = spark.read.parquet(path).select("h", "token", "doc_id", "c", "l", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    keys = F.struct("token", "doc_id", "c", "l")
+    before = F.lag(keys).over(Window.partitionBy("file", "h").orderBy("row"))
+    return rows.withColumn("keys", keys).withColumn("previous", before).agg(F.count_if(F.col("previous") > F.col("keys")).alias("violations"), F.count("*").alias("windows"))

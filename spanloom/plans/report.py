@@ -45,8 +45,10 @@ def match_passages(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def totals(matches: DataFrame, queries: DataFrame) -> DataFrame:
-    """(n_queries, n_found, n_matches): distinct query_id of queries, those with a match, and match rows."""
-    return queries.select("query_id").distinct().agg(F.count("*").alias("n_queries")).crossJoin(matches.agg(F.count_distinct("query_id").alias("n_found"), F.count("*").alias("n_matches")))
+    """(n_queries, n_found, n_matches, n_passages): distinct query_id of queries, those with a match, match rows, and their passages."""
+    found = matches.agg(F.count_distinct("query_id").alias("n_found"), F.count("*").alias("n_matches"))
+    every = passages(matches).agg(F.count("*").alias("n_passages"))
+    return queries.select("query_id").distinct().agg(F.count("*").alias("n_queries")).crossJoin(found).crossJoin(every)
 
 
 def width_histogram(windows: DataFrame) -> DataFrame:

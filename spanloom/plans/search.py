@@ -52,18 +52,18 @@ def ranked_lists(signatures: DataFrame, index: DataFrame, count: str = "n") -> D
     return joined.select("query_id", "h", "token", "n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("place"))
 
 
-def _met(lists: DataFrame, windows: DataFrame) -> DataFrame:
+def met(lists: DataFrame, windows: DataFrame) -> DataFrame:
     return windows.join(lists, ["h", "token"]).select("query_id", "h", "doc_id", "l", "c", "r")
 
 
 def candidates(lists: DataFrame, windows: DataFrame, least: int) -> DataFrame:
     """(query_id, doc_id, n_lists): documents in at least `least` different lists of a query."""
-    return _met(lists, windows).groupBy("query_id", "doc_id").agg(F.count_distinct("h").alias("n_lists")).where(F.col("n_lists") >= least)
+    return met(lists, windows).groupBy("query_id", "doc_id").agg(F.count_distinct("h").alias("n_lists")).where(F.col("n_lists") >= least)
 
 
-def _kept(met: DataFrame, least: int) -> DataFrame:
-    good = met.groupBy("query_id", "doc_id").agg(F.count_distinct("h").alias("lists")).where(F.col("lists") >= least).select("query_id", "doc_id")
-    return met.join(good, ["query_id", "doc_id"], "left_semi")
+def kept(found: DataFrame, least: int) -> DataFrame:
+    good = found.groupBy("query_id", "doc_id").agg(F.count_distinct("h").alias("lists")).where(F.col("lists") >= least).select("query_id", "doc_id")
+    return found.join(good, ["query_id", "doc_id"], "left_semi")
 
 
 @dataclass(frozen=True)
@@ -79,15 +79,15 @@ def exhaustive(signatures: DataFrame, windows: DataFrame, config: SearchConfig,
     config = config.effective()
     index = windows.groupBy("h", "token").agg(F.count("*").alias("n")) if index is None else index
     ranked = materialise(ranked_lists(signatures, index, count), "lists")
-    first = materialise(_met(ranked.where(F.col("place") <= config.prefix).select("query_id", "h", "token"), windows), "prefix")
+    first = materialise(met(ranked.where(F.col("place") <= config.prefix).select("query_id", "h", "token"), windows), "prefix")
     covers = max_cover(first, config.prefix_matches).groupBy("query_id", "doc_id").agg(F.max("n_collide").alias("n_prefix"))
     if config.prefix >= config.k:
-        met = first
+        own = first
     else:
         covers = materialise(covers, "candidates")
         # one read of all lists, for candidates alone: no union of what was read before with the rest
-        met = _met(ranked.select("query_id", "h", "token"), windows).join(covers.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    return Found(max_cover(met, config.matches), covers)
+        own = met(ranked.select("query_id", "h", "token"), windows).join(covers.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    return Found(max_cover(own, config.matches), covers)
 
 
 def once(found: Found) -> DataFrame:

@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cached_property, partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.config import SearchConfig
+from spanloom.config import BuildConfig, SearchConfig
 from spanloom.functions import hashing, text
 from spanloom.operators import index, sweep, windows
-from spanloom.plans import report, search
+from spanloom.plans import report, search, stored
 from spanloom.session import fresh_path, materialise, ship
-from spanloom.sources import corpus_bin, tables
+from spanloom.sources import corpus_bin, doc_bundle, tables
 from spanloom.streaming import ingest
 
 CONFIG = SearchConfig(k=16, t=10, theta=0.8, prefix_ratio=0.4, chunk=16)
-BUILD_K, BUILD_T = 2, 25
+BUILD_K, BUILD_T = 16, 25
+#: Of the build that the search of a stored index reads.
+STORED = BuildConfig(k=16, t=10, zone_interval=100, zone_lists=10)
+SAMPLED = SearchConfig(k=16, t=10, theta=0.8, prefix_ratio=0.4, chunk=16, sample_start=5, sample_count=20)
+LIMIT = 500
+GRID = ((None, 500), (4, 8, 16), (25, 50, 100))
+MOST_WINDOWS = 500
 N_STOP = 20
 LONGEST = 10
 ZONE = 100
@@ -42,9 +48,9 @@ class Tables:
     def item_words(self) -> DataFrame:
         return text.positions(self.table("benchmark"), "item_id")
 
-    @property
+    @cached_property
     def words(self) -> DataFrame:
-        return text.dictionary(self.doc_words, self.item_words)
+        return materialise(text.dictionary(self.doc_words, self.item_words), "dictionary")
 
     def doc_tokens(self) -> DataFrame:
         return text.encode(self.doc_words, self.words)
@@ -66,7 +72,7 @@ class Search:
     """Benchmark chunks against documents, with windows of the queries' own lists only."""
 
     def __init__(self, t: Tables, config: SearchConfig):
-        words = materialise(t.words, "dictionary")
+        words = t.words
         self.sequences = materialise(text.sequences(text.encode(t.doc_words, words)), "sequences")
         self.chunks = materialise(search.query_chunks(text.encode(t.item_words, words), config.chunk), "chunks")
         self.signatures = materialise(search.least_tokens(self.chunks, config.k), "signatures")
@@ -77,7 +83,7 @@ class Search:
         return search.ranked_lists(self.signatures, self.windows.groupBy("h", "token").agg(F.count("*").alias("n")))
 
     def met(self, least: int) -> DataFrame:
-        return search._kept(search._met(self.signatures, self.windows), least)
+        return search.kept(search.met(self.signatures, self.windows), least)
 
     def found(self) -> search.Found:
         return search.exhaustive(self.signatures, self.windows, self.config)
@@ -95,7 +101,7 @@ def tokenize_documents(t: Tables) -> DataFrame:
 
 
 def token_dictionary(t: Tables) -> DataFrame:
-    return t.words
+    return t.words.select("word", "token")
 
 
 def token_offsets(t: Tables) -> DataFrame:
@@ -131,10 +137,10 @@ def compact_windows(t: Tables) -> DataFrame:
 
 def stopword_windows(t: Tables) -> DataFrame:
     """Windows by list where stopwords keep their places but own no window."""
-    words = materialise(t.words, "dictionary")
+    words = t.words
     stop = [r["token"] for r in text.encode(_stopwords(t), words).collect()]
     own = windows.compact_windows(text.sequences(text.encode(t.doc_words, words)), BUILD_K, BUILD_T, stop)
-    return windows.checked(materialise(own, "windows"), t.spark.createDataFrame([(x,) for x in stop], "token int")).groupBy("h").agg(F.count("*").alias("n"), F.sum("l").alias("sum_l"), F.sum("r").alias("sum_r"))
+    return windows.checked(materialise(own, "windows"), t.spark.createDataFrame([(x,) for x in stop], "token int"))
 
 
 def window_width_histogram(t: Tables) -> DataFrame:
@@ -171,9 +177,10 @@ def zone_map(t: Tables) -> DataFrame:
 
 
 def sortedness_check(t: Tables) -> DataFrame:
+    """Stored windows, in the order in which the files have them."""
     path = fresh_path(t.spark, "stored")
     tables.write_windows(t.windows(), path)
-    return index.order_violations(tables.read_windows(t.spark, path))
+    return index.order_violations(t.spark, path)
 
 
 def merge_epochs(t: Tables) -> DataFrame:
@@ -195,12 +202,136 @@ def stream_epochs(t: Tables) -> DataFrame:
 
 
 def corpus_bin_round_trip(t: Tables) -> DataFrame:
-    """Sequences written as length-prefixed files and read back: tokens of all records, by length."""
+    """Sequences written as length-prefixed files and read back: every record, as its tokens."""
     corpus_bin.register(t.spark)
-    path = corpus_bin.local(fresh_path(t.spark, "corpus"))
+    path = fresh_path(t.spark, "corpus")
     t.sequences().select("tokens").write.format("corpus_bin").mode("append").save(path)
     back = t.spark.read.format("corpus_bin").load(path)
-    return back.groupBy(F.size("tokens").alias("length")).agg(F.count("*").alias("n"), F.sum(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("sum_tokens"))
+    return back.groupBy(F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens")).agg(F.count("*").alias("n"))
+
+
+def doc_bundle_round_trip(t: Tables) -> DataFrame:
+    """Tokens and byte offsets of documents written as bundles and read back, by name."""
+    doc_bundle.register(t.spark)
+    path = fresh_path(t.spark, "bundles")
+    placed = t.doc_tokens().join(text.byte_offsets(t.table("documents")), ["doc_id", "pos"])
+    rows = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", F.col("byte_offset").cast("int").alias("at")))).alias("x"))
+    rows.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("x.token").alias("tokens"), F.col("x.at").alias("offsets")).write.format("doc_bundle").mode("append").save(path)
+    back = t.spark.read.format("doc_bundle").load(path)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return back.select("name", joined("tokens"), joined("offsets"))
+
+
+def stopword_tokens(t: Tables) -> DataFrame:
+    """The tokens of stopwords, by way of a stopword file."""
+    corpus_bin.register(t.spark)
+    path = fresh_path(t.spark, "stopwords")
+    tables.write_stopword_tokens(text.encode(_stopwords(t), t.words), path)
+    return tables.read_stopword_tokens(t.spark, path)
+
+
+def sequence_hashes(t: Tables) -> DataFrame:
+    return t.sequences().select("doc_id", hashing.sequence_hash("tokens").alias("hash"))
+
+
+def stopword_hashes(t: Tables) -> DataFrame:
+    """Hashes of the first function of every token, those of stopwords the greatest value."""
+    stop = [r["token"] for r in text.encode(_stopwords(t), t.words).collect()]
+    h, a, b = hashing.family(1)[0]
+    hashed = t.sequences().select("doc_id", F.posexplode(hashing.hash_array(F.col("tokens"), a, b, stop)).alias("pos", "hval"))
+    return hashed.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("hval").cast("long").alias("hval"))
+
+
+def parsed_ints(t: Tables) -> DataFrame:
+    """Sequences written as texts of integers, parsed, each value by way of its 4 bytes, without one value."""
+    texts = t.sequences().select("doc_id", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("x"))
+    values = F.transform(text.parse_ints(F.col("x")), lambda v: text.bytes_int(text.int_bytes(v)))
+    return texts.select("doc_id", F.posexplode(text.without_value(values, 220)).alias("pos", "token")).select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
+
+
+def interval_pairs(t: Tables) -> DataFrame:
+    """Windows of a list and document that follow each other by center: whether they meet, and the interval over both."""
+    before = Window.partitionBy("h", "token", "doc_id").orderBy("c")
+    w = t.windows().select("h", "token", "doc_id", "c", "l", "r", F.lag("l").over(before).alias("l0"), F.lag("r").over(before).alias("r0")).where("l0 is not null")
+    low, high = windows.merged(F.col("l0"), F.col("r0"), F.col("l"), F.col("r"))
+    return w.select("h", "token", "doc_id", "c", windows.intersects(F.col("l0"), F.col("r0"), F.col("l"), F.col("r")).alias("meet"), low.alias("low"), high.alias("high"))
+
+
+def index_matrix(t: Tables) -> DataFrame:
+    """Length and offset of the list of every function and token, empty ones included."""
+    return index.full_list_index(t.windows(), t.words.count(), BUILD_K)
+
+
+def doc_index_matrix(t: Tables) -> DataFrame:
+    return index.full_doc_index(t.windows(), t.words.count(), BUILD_K)
+
+
+def _stored(t: Tables, config: BuildConfig = STORED) -> stored.StoredIndex:
+    return stored.build(t.sequences(), config, config.folder(fresh_path(t.spark, "index")))
+
+
+def stored_lists(t: Tables) -> DataFrame:
+    """The windows of the longest lists, from a stored index."""
+    own = _stored(t)
+    return index.scan_lists(own.windows, index.longest_lists(own.lists, LONGEST))
+
+
+def _asked(t: Tables) -> DataFrame:
+    return t.table("documents").where("doc_id % 50 = 0").select("doc_id")
+
+
+def stored_documents(t: Tables) -> DataFrame:
+    """The windows of the queries' documents in the longest lists, from a stored index."""
+    own = _stored(t)
+    return index.scan_lists(own.windows, index.longest_lists(own.lists, LONGEST), _asked(t))
+
+
+def document_offsets(t: Tables) -> DataFrame:
+    """Where the windows of each document begin in the longest lists."""
+    own = _stored(t)
+    return index.doc_offsets(own.windows, index.longest_lists(own.lists, LONGEST))
+
+
+def zone_lookup(t: Tables) -> DataFrame:
+    """The zone to read for each of the queries' documents in each of the longest lists, from a stored index."""
+    own = _stored(t)
+    return index.zone_of(own.zones, index.longest_lists(own.lists, LONGEST).select("h", "token").crossJoin(F.broadcast(_asked(t))))
+
+
+def zone_membership(t: Tables) -> DataFrame:
+    """Which lists have a zone map, in a stored index."""
+    own = _stored(t)
+    return index.in_zone_map(own.zones, own.lists)
+
+
+def stored_zones(t: Tables) -> DataFrame:
+    return _stored(t).zones
+
+
+def doc_limit_index(t: Tables) -> DataFrame:
+    """The lists of an index whose documents are those of ids below a limit."""
+    return _stored(t, STORED.with_(doc_limit=LIMIT)).lists
+
+
+def experiment_grid(t: Tables) -> DataFrame:
+    """Windows for every document limit, k and t of an experiment."""
+    return stored.grid(t.sequences(), *GRID)
+
+
+def near_dup_stored(t: Tables) -> DataFrame:
+    """Matches by a stored index."""
+    return stored.search_stored(_stored(t), text.encode(t.item_words, t.words), CONFIG).matches
+
+
+def near_dup_sampled(t: Tables) -> DataFrame:
+    """Matches of a sample of the queries, by a stored index."""
+    return stored.search_stored(_stored(t), text.encode(t.item_words, t.words), SAMPLED).matches
+
+
+def guarded_queries(t: Tables) -> DataFrame:
+    """Windows of each query's lists, and whether they are within a limit."""
+    s = t.search()
+    return search.guarded(s.signatures, s.windows.groupBy("h", "token").agg(F.count("*").alias("n")), MOST_WINDOWS)
 
 
 def list_rank_prefix(t: Tables) -> DataFrame:
@@ -269,7 +400,9 @@ def match_passages(t: Tables) -> DataFrame:
 _FUNCTIONS = (
     tokenize_documents, token_dictionary, token_offsets, encode_documents, drop_stopwords, hash_tokens, minhash_query_tokens, query_chunks, compact_windows,
     stopword_windows, window_width_histogram, total_windows, list_index, doc_index, list_argsort, longest_lists, list_docs_scan, zone_map, sortedness_check,
-    merge_epochs, stream_epochs, corpus_bin_round_trip, list_rank_prefix, candidate_docs, sweep_max_cover, sweep_all_rectangles, covered_area, near_dup_exhaustive,
+    merge_epochs, stream_epochs, corpus_bin_round_trip, doc_bundle_round_trip, stopword_tokens, sequence_hashes, stopword_hashes, parsed_ints, interval_pairs, index_matrix,
+    doc_index_matrix, stored_lists, stored_documents, document_offsets, zone_lookup, zone_membership, stored_zones, doc_limit_index, experiment_grid,
+    near_dup_stored, near_dup_sampled, guarded_queries, list_rank_prefix, candidate_docs, sweep_max_cover, sweep_all_rectangles, covered_area, near_dup_exhaustive,
     near_dup_once, near_dup_by_documents, passage_count, passage_histogram, similarity_buckets, longest_match, search_totals, match_passages,
 )
 
@@ -314,25 +447,29 @@ def _with(k: int, *more: str) -> str:
     return "WITH " + ",\n".join([*base, *more]) + "\n"
 
 
-def _win(centers: str, t: int, stop: str = "") -> list[str]:
-    """win(h, token, doc_id, l, c, r) from centers (h, a, b, token, doc_id, c). stop: SQL of stopword tokens."""
+def _win(t: int, centers: str = "", stop: str = "", name: str = "win", where: str = "true") -> list[str]:
+    """win(h, token, doc_id, l, c, r). centers: SQL of the lists (h, token) that are wanted, or all. stop: SQL of stopword tokens.
+
+    The center of a window of more than t + 1 tokens is the leftmost least of some t + 2 that follow each other, so only those are looked at.
+    """
     value = f"CASE WHEN token IN ({stop}) THEN 2147483647 ELSE {_hash('token')} END" if stop else _hash("token")
+    wanted = " AND ".join([f"(hv.h, hv.token) IN ({centers})"] * bool(centers) + ["hv.v <> 2147483647"] * bool(stop)) or "true"
     return [
-        f"cen AS MATERIALIZED ({centers})",
-        f"hv AS MATERIALIZED (SELECT h, doc_id, pos::INTEGER AS pos, ({value})::INTEGER AS v FROM dt CROSS JOIN fam)",
-        "hashed AS (SELECT cen.h, cen.token, cen.doc_id, cen.c, m.v, o.pos AS p, o.v AS w FROM cen JOIN hv m ON m.h = cen.h AND m.doc_id = cen.doc_id AND m.pos = cen.c JOIN hv o ON o.h = cen.h AND o.doc_id = cen.doc_id)",
-        "ends AS (SELECT h, token, doc_id, c, coalesce(max(p) FILTER (p < c AND w <= v) + 1, 0) AS l, coalesce(min(p) FILTER (p > c AND w < v) - 1, max(p)) AS r FROM hashed GROUP BY h, token, doc_id, c)",
-        f"win AS MATERIALIZED (SELECT h, token, doc_id, l::INTEGER AS l, c::INTEGER AS c, r::INTEGER AS r FROM ends WHERE l + {t} < r)",
+        f"{name}_hv AS MATERIALIZED (SELECT h, doc_id, token, pos::INTEGER AS pos, ({value})::INTEGER AS v FROM dt CROSS JOIN fam WHERE {where})",
+        f"{name}_low AS (SELECT DISTINCT h, doc_id, (m % 2097152)::INTEGER AS c FROM (SELECT h, doc_id, min((v::BIGINT + 2147483648) * 2097152 + pos) OVER (PARTITION BY h, doc_id ORDER BY pos ROWS BETWEEN {t + 1} PRECEDING AND CURRENT ROW) AS m, pos FROM {name}_hv) WHERE pos > {t})",
+        f"{name}_cen AS MATERIALIZED (SELECT hv.h, hv.token, hv.doc_id, hv.pos AS c, hv.v FROM {name}_hv hv JOIN {name}_low low ON low.h = hv.h AND low.doc_id = hv.doc_id AND low.c = hv.pos WHERE {wanted})",
+        f"{name}_ends AS (SELECT cen.h, cen.token, cen.doc_id, cen.c, coalesce(max(o.pos) FILTER (o.pos < cen.c AND o.v <= cen.v) + 1, 0) AS l, coalesce(min(o.pos) FILTER (o.pos > cen.c AND o.v < cen.v) - 1, max(o.pos)) AS r FROM {name}_cen cen JOIN {name}_hv o ON o.h = cen.h AND o.doc_id = cen.doc_id GROUP BY cen.h, cen.token, cen.doc_id, cen.c)",
+        f"{name} AS MATERIALIZED (SELECT h, token, doc_id, l::INTEGER AS l, c::INTEGER AS c, r::INTEGER AS r FROM {name}_ends WHERE l + {t} < r)",
     ]
 
 
-_ALL = "SELECT h, a, b, token, doc_id, pos AS c FROM dt CROSS JOIN fam"
-_BUILD = _with(BUILD_K, *_win(_ALL, BUILD_T))
+_BUILD = _with(BUILD_K, *_win(BUILD_T))
 _INDEX = "idx AS (SELECT h, token, n, (coalesce(sum(n) OVER (PARTITION BY h ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 16)::BIGINT AS \"offset\" FROM (SELECT h, token, count(*) AS n FROM win GROUP BY h, token))"
-_INDEXED = _with(BUILD_K, *_win(_ALL, BUILD_T), _INDEX)
+_INDEXED = _with(BUILD_K, *_win(BUILD_T), _INDEX)
+_STORED = _with(STORED.k, *_win(STORED.t), _INDEX)
 _CHUNKS = f"ch AS MATERIALIZED (SELECT item_id, pos // {CONFIG.chunk} AS chunk, item_id * 1048576 + pos // {CONFIG.chunk} AS query_id, pos % {CONFIG.chunk} AS pos, token FROM bt QUALIFY count(*) OVER (PARTITION BY item_id, pos // {CONFIG.chunk}) = {CONFIG.chunk})"
 _SIG = f"sig AS MATERIALIZED (SELECT query_id, h, token FROM (SELECT query_id, h, token, row_number() OVER (PARTITION BY query_id, h ORDER BY {_hash('token')}, pos) AS rn FROM ch CROSS JOIN fam) WHERE rn = 1)"
-_WANTED = "SELECT fam.h, fam.a, fam.b, dt.token, dt.doc_id, dt.pos AS c FROM dt JOIN (SELECT DISTINCT h, token FROM sig) q USING (token) JOIN fam ON fam.h = q.h"
+_WANTED = "SELECT DISTINCT h, token FROM sig"
 _LISTS = "lists AS MATERIALIZED (SELECT query_id, h, token, coalesce(m, 0) AS n, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(m, 0), h) AS place FROM sig LEFT JOIN (SELECT h, token, count(*) AS m FROM win GROUP BY h, token) USING (h, token))"
 _MET = "met AS MATERIALIZED (SELECT query_id, h, doc_id, l, c, r, place FROM win JOIN lists USING (h, token))"
 
@@ -358,7 +495,7 @@ def _rectangles(name: str) -> list[str]:
 
 
 def _search(*more: str) -> str:
-    return _with(CONFIG.k, _CHUNKS, _SIG, *_win(_WANTED, CONFIG.t), _LISTS, _MET, *more)
+    return _with(CONFIG.k, _CHUNKS, _SIG, *_win(CONFIG.t, _WANTED), _LISTS, _MET, *more)
 
 
 _MATCHES = _cover("found", "SELECT * FROM met", CONFIG.matches)
@@ -369,6 +506,32 @@ _LONGEST = "lng AS (SELECT query_id, doc_id, l, r FROM found QUALIFY row_number(
 _LIST_INDEX = _INDEXED + 'SELECT h, token, n, "offset" FROM idx'
 _LAST = f"SELECT h, token, n FROM idx QUALIFY row_number() OVER (PARTITION BY h ORDER BY n DESC, token DESC) <= {LONGEST}"
 
+
+
+def _zones(base: str, lists: str) -> str:
+    """zones(h, token, zone, doc_id, passed) of the windows of the lists, after the CTEs of base."""
+    own = [
+        f"cum AS MATERIALIZED (SELECT h, token, doc_id, (coalesce(sum(n) OVER (PARTITION BY h, token ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS passed FROM (SELECT h, token, doc_id, count(*) AS n FROM win SEMI JOIN ({lists}) USING (h, token) GROUP BY h, token, doc_id))",
+        f"steps(h, token, zone, passed) AS (SELECT h, token, 0, 0::BIGINT FROM cum WHERE passed = 0 UNION ALL SELECT s.h, s.token, s.zone + 1, min(c.passed) FROM steps s JOIN cum c ON c.h = s.h AND c.token = s.token AND c.passed >= s.passed + {ZONE} GROUP BY s.h, s.token, s.zone)",
+        "zones AS MATERIALIZED (SELECT s.h, s.token, s.zone, c.doc_id, s.passed FROM steps s JOIN cum c ON c.h = s.h AND c.token = s.token AND c.passed = s.passed)",
+    ]
+    return base.rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + ",\n".join(own) + "\n"
+
+
+_BUILD_ZONES = _zones(_BUILD, "SELECT h, token FROM win")
+_STORED_ZONES = _zones(_STORED, _LAST)
+
+def _mixed(values: str, last: bool = False) -> str:
+    """A mixing step for each value of a list, in wrapping signed 32 bits, as sequence_hash has it."""
+    shifted = "(CASE WHEN x >= 0 THEN x >> 16 ELSE -1 - ((-1 - x) >> 16) END)"
+    if last:
+        return f"list_transform({values}, lambda x: (xor({shifted}, x) + 2654435769) & 4294967295)"
+    return f"list_transform(list_transform({values}, lambda x: (xor({shifted}, x) * 73244475) & 4294967295), lambda x: CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END)"
+
+
+_FOLDED = f"list_reduce(list_transform({_mixed(_mixed(_mixed('tokens')), True)}, lambda x: x::HUGEINT), lambda s, v: xor(s, (v + s * 64 + s // 4) % 18446744073709551616), len(tokens)::HUGEINT)"
+_SEQUENCE_HASH = f"SELECT doc_id, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS hash FROM (SELECT doc_id, {_FOLDED} AS h FROM (SELECT doc_id, list(token::BIGINT ORDER BY pos) AS tokens FROM dt GROUP BY doc_id))"
+
 SQL: dict[str, str] = {
     "tokenize_documents": _placed("documents", "doc_id"),
     "token_dictionary": _with(1) + "SELECT word, token FROM dict",
@@ -383,8 +546,7 @@ SELECT doc_id, pos, (sum(gap + own) OVER (PARTITION BY doc_id ORDER BY pos) - ow
     "minhash_query_tokens": _with(CONFIG.k) + f"SELECT item_id AS query_id, h, token FROM bt CROSS JOIN fam QUALIFY row_number() OVER (PARTITION BY item_id, h ORDER BY {_hash('token')}, pos) = 1",
     "query_chunks": _with(1, _CHUNKS) + "SELECT item_id, chunk, query_id, pos, token FROM ch",
     "compact_windows": _BUILD + "SELECT h, token, doc_id, l, c, r FROM win",
-    "stopword_windows": _with(BUILD_K, f"stop AS MATERIALIZED (SELECT token FROM ({_STOP}) JOIN dict USING (word))", *_win(_ALL + " WHERE token NOT IN (SELECT token FROM stop)", BUILD_T, "SELECT token FROM stop"))
-    + "SELECT h, count(*) AS n, sum(l)::BIGINT AS sum_l, sum(r)::BIGINT AS sum_r FROM win GROUP BY h",
+    "stopword_windows": _with(BUILD_K, f"stop AS MATERIALIZED (SELECT token FROM ({_STOP}) JOIN dict USING (word))", *_win(BUILD_T, "", "SELECT token FROM stop")) + "SELECT h, token, doc_id, l, c, r FROM win",
     "window_width_histogram": _BUILD + "SELECT h, r - l + 1 AS width, count(*) AS n FROM win GROUP BY ALL",
     "total_windows": _BUILD + "SELECT count(*) AS n FROM win",
     "list_index": _LIST_INDEX,
@@ -394,8 +556,36 @@ SELECT doc_id, pos, (sum(gap + own) OVER (PARTITION BY doc_id ORDER BY pos) - ow
     "list_argsort": _INDEXED + "SELECT h, token, row_number() OVER (PARTITION BY h ORDER BY n, token) - 1 AS place FROM idx",
     "longest_lists": _INDEXED + _LAST,
     "list_docs_scan": _INDEXED + f"SELECT DISTINCT h, token, doc_id FROM win SEMI JOIN ({_LAST}) USING (h, token)",
-    "sortedness_check": "SELECT 0::BIGINT AS violations",
-    "corpus_bin_round_trip": _with(1) + "SELECT length::INTEGER AS length, count(*) AS n, sum(s)::BIGINT AS sum_tokens FROM (SELECT doc_id, count(*) AS length, sum(token) AS s FROM dt GROUP BY doc_id) GROUP BY length",
+    "sortedness_check": _BUILD + "SELECT 0::BIGINT AS violations, count(*) AS windows FROM win",
+    "zone_map": _BUILD_ZONES + "SELECT h, token, zone::INTEGER AS zone, doc_id, passed * 16 AS \"offset\" FROM zones",
+    "doc_bundle_round_trip": _with(
+        1,
+        """a AS (SELECT doc_id, regexp_extract_all(text, '[^[:space:][:punct:]]+') AS w, regexp_extract_all(text, '[[:space:][:punct:]]+') AS d, CASE WHEN regexp_matches(text, '\\A[[:space:][:punct:]]') THEN 1 ELSE 0 END AS lead FROM documents)""",
+        "b AS (SELECT doc_id, d, lead, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM a)",
+        "g AS (SELECT doc_id, pos, strlen(word) AS own, CASE WHEN lead + pos >= 1 THEN strlen(d[pos + lead]) ELSE 0 END AS gap FROM b)",
+        "o AS (SELECT doc_id, pos, (sum(gap + own) OVER (PARTITION BY doc_id ORDER BY pos) - own)::BIGINT AS place FROM g)",
+    )
+    + "SELECT 'doc-' || doc_id AS name, string_agg(token::VARCHAR, ' ' ORDER BY pos) AS tokens, string_agg(place::VARCHAR, ' ' ORDER BY pos) AS offsets FROM dt JOIN o USING (doc_id, pos) GROUP BY doc_id",
+    "stopword_tokens": _with(1, f"stop AS ({_STOP})") + "SELECT token FROM stop JOIN dict USING (word)",
+    "sequence_hashes": _with(1) + _SEQUENCE_HASH,
+    "stopword_hashes": _with(1, f"stop AS MATERIALIZED (SELECT token FROM ({_STOP}) JOIN dict USING (word))") + f"SELECT doc_id, pos, CASE WHEN token IN (SELECT token FROM stop) THEN 2147483647 ELSE {_hash('token')} END::BIGINT AS hval FROM dt CROSS JOIN fam",
+    "parsed_ints": _with(1) + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, token FROM dt WHERE token <> 220",
+    "interval_pairs": _BUILD + "SELECT h, token, doc_id, c, l0 <= r AND l <= r0 AS meet, least(l0, l) AS low, greatest(r0, r) AS high FROM (SELECT *, lag(l) OVER w AS l0, lag(r) OVER w AS r0 FROM win WINDOW w AS (PARTITION BY h, token, doc_id ORDER BY c)) WHERE l0 IS NOT NULL",
+    "index_matrix": _BUILD + "SELECT h, token, n, (coalesce(sum(n) OVER (PARTITION BY h ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 16)::BIGINT AS \"offset\" FROM (SELECT fam.h, dict.token, coalesce(m, 0) AS n FROM fam CROSS JOIN dict LEFT JOIN (SELECT h, token, count(*) AS m FROM win GROUP BY h, token) w ON w.h = fam.h AND w.token = dict.token)",
+    "doc_index_matrix": _BUILD + "SELECT fam.h, dict.token, coalesce(m, 0) AS n_docs FROM fam CROSS JOIN dict LEFT JOIN (SELECT h, token, count(DISTINCT doc_id) AS m FROM win GROUP BY h, token) w ON w.h = fam.h AND w.token = dict.token",
+    "stored_lists": _STORED + f"SELECT h, token, doc_id, l, c, r FROM win SEMI JOIN ({_LAST}) USING (h, token)",
+    "stored_documents": _STORED + f"SELECT h, token, doc_id, l, c, r FROM win SEMI JOIN ({_LAST}) USING (h, token) WHERE doc_id % 50 = 0",
+    "document_offsets": _STORED + f"SELECT h, token, doc_id, n, (coalesce(sum(n) OVER (PARTITION BY h, token ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 16)::BIGINT AS \"offset\" FROM (SELECT h, token, doc_id, count(*) AS n FROM win SEMI JOIN ({_LAST}) USING (h, token) GROUP BY h, token, doc_id)",
+    "zone_lookup": _STORED_ZONES + "SELECT z.h, z.token, d.doc_id, max(z.passed) * 16 AS \"offset\" FROM zones z JOIN documents d ON d.doc_id % 50 = 0 AND z.doc_id <= d.doc_id GROUP BY z.h, z.token, d.doc_id",
+    "zone_membership": _STORED_ZONES + "SELECT h, token, (h, token) IN (SELECT (h, token) FROM zones) AS zoned FROM idx",
+    "stored_zones": _STORED_ZONES + "SELECT h, token, zone::INTEGER AS zone, doc_id, passed * 16 AS \"offset\" FROM zones",
+    "doc_limit_index": _with(STORED.k, *_win(STORED.t, where=f"doc_id < {LIMIT}"), _INDEX) + 'SELECT h, token, n, "offset" FROM idx',
+    "experiment_grid": _with(max(GRID[1]), *_win(min(GRID[2])))
+    + " UNION ALL ".join(f"SELECT {'NULL' if d is None else d}::BIGINT AS doc_limit, {k} AS k, {t} AS t, count(*) AS n_windows FROM win WHERE h < {k} AND l + {t} < r AND {'true' if d is None else f'doc_id < {d}'}" for d in GRID[0] for k in GRID[1] for t in GRID[2]),
+    "near_dup_stored": _search(*_MATCHES) + _FOUND,
+    "near_dup_sampled": _with(CONFIG.k, _CHUNKS.replace("FROM bt", f"FROM bt WHERE item_id BETWEEN {SAMPLED.sample_start} AND {SAMPLED.sample_start + SAMPLED.sample_count - 1}"), _SIG, *_win(CONFIG.t, _WANTED), _LISTS, _MET, *_MATCHES) + _FOUND,
+    "guarded_queries": _search() + f"SELECT query_id, sum(n)::BIGINT AS windows, sum(n) <= {MOST_WINDOWS} AS allowed FROM lists GROUP BY query_id",
+    "corpus_bin_round_trip": _with(1) + "SELECT tokens, count(*) AS n FROM (SELECT string_agg(token::VARCHAR, ' ' ORDER BY pos) AS tokens FROM dt GROUP BY doc_id) GROUP BY tokens",
     "list_rank_prefix": _search() + f"SELECT query_id, h, token, n, place FROM lists WHERE place <= {CONFIG.prefix}",
     "candidate_docs": _search() + f"SELECT query_id, doc_id, count(DISTINCT h) AS n_lists FROM met WHERE place <= {CONFIG.prefix} GROUP BY query_id, doc_id HAVING count(DISTINCT h) >= {CONFIG.prefix_matches}",
     "sweep_max_cover": _search(*_cover("found", "SELECT * FROM met", CONFIG.prefix_matches)) + _FOUND,
@@ -416,6 +606,6 @@ SELECT doc_id, pos, (sum(gap + own) OVER (PARTITION BY doc_id ORDER BY pos) - ow
     "passage_histogram": _search(*_MATCHES, _ISLANDS) + "SELECT n_passages, count(*) AS n_queries FROM isl GROUP BY n_passages",
     "similarity_buckets": _search(*_MATCHES, "best AS (SELECT query_id, max(n_collide) AS b FROM found GROUP BY query_id)") + " UNION ALL ".join(f"SELECT {v!r}::DOUBLE AS level, count(*) FILTER ({f'b / {CONFIG.k}.0::DOUBLE >= {v!r}' if i else 'true'}) AS n_queries FROM best" for i, v in enumerate(CONFIG.levels())),
     "longest_match": _search(*_MATCHES, _LONGEST) + "SELECT * FROM lng",
-    "search_totals": _search(*_MATCHES) + "SELECT (SELECT count(DISTINCT query_id) FROM ch) AS n_queries, count(DISTINCT query_id) AS n_found, count(*) AS n_matches FROM found",
+    "search_totals": _search(*_MATCHES, _ISLANDS) + "SELECT (SELECT coalesce(sum(n_passages), 0)::BIGINT FROM isl) AS n_passages, (SELECT count(DISTINCT query_id) FROM ch) AS n_queries, count(DISTINCT query_id) AS n_found, count(*) AS n_matches FROM found",
     "match_passages": _search(*_MATCHES, _LONGEST, "seq AS (SELECT doc_id, list(token ORDER BY pos) AS tokens FROM dt WHERE doc_id IN (SELECT doc_id FROM lng) GROUP BY doc_id)") + "SELECT query_id, doc_id, l, r, array_to_string(list_slice(tokens, l + 1, r + 1)::VARCHAR[], ' ') AS passage FROM lng JOIN seq USING (doc_id)",
 }

@@ -1,19 +1,31 @@
-"""What a Spark session needs for the library: code on the executors, a shared folder, stored tables."""
+"""What a Spark session needs for the library: code on the executors, a shared folder, stored tables and their end.
+
+Stored tables are scratch: scratch() deletes those that were made within it, clean() all of the session, and the end of the Python process
+what is left by then.
+"""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_paths: list[str] = []
+#: Rows of an Arrow batch on the way to Python, where the session has Spark's own default: rows hold whole texts, and a task holds a batch or two.
+ARROW_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the executors' Python, once for each application."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -40,7 +52,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, for data that clean() may delete."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_at_exit)
+    _paths.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -48,3 +65,35 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _paths:
+            _paths.remove(path)
+
+
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what was stored (after the first `since` paths); frames that read it can't be used any more."""
+    delete(spark, *_paths[since:])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored within is deleted at the end."""
+    since = len(_paths)
+    try:
+        yield
+    finally:
+        clean(spark, since)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            clean(spark)
+    except Exception:  # the JVM may be gone  # noqa: BLE001
+        pass

@@ -32,6 +32,16 @@ def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
 
 
+def write_stopword_tokens(tokens: DataFrame, path: str) -> None:
+    """(token) as a file of one length-prefixed array."""
+    tokens.agg(F.sort_array(F.collect_set("token")).alias("tokens")).write.format("corpus_bin").mode("overwrite").save(path)
+
+
+def read_stopword_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(token) of stopword files; the source corpus_bin must be registered."""
+    return spark.read.format("corpus_bin").load(path).select(F.explode("tokens").alias("token")).distinct()
+
+
 def random_access(docs: DataFrame, ids: list[int], id_col: str = "doc_id") -> DataFrame:
     """Documents by id; the predicate reaches the scan."""
     return docs.where(F.col(id_col).isin(ids))

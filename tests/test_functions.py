@@ -71,3 +71,16 @@ def test_small_functions(spark):
         text.passage(F.array(*map(F.lit, range(9))), F.lit(2), F.lit(4)).alias("d"), text.without_value(F.array(F.lit(220), F.lit(1)), 220).alias("e"),
     ).first()
     assert got["a"] == [3, -4, 50] and got["b"] == -2 and bytes(got["c"]) == b"\x02\x01\0\0" and got["d"] == [2, 3, 4] and got["e"] == [1]
+
+
+def test_encode_of_frequent_words(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["the", "of", *(f"w{k}" for k in range(300))], [500, 300] + [1] * 300, k=80))) for i in range(60)]
+    placed = text.positions(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = text.dictionary(placed)
+    want = {r["word"]: r["token"] for r in words.collect()}
+    for head in (3, 10_000):
+        monkeypatch.setattr(text, "HEAD", head)
+        got = sorted(map(tuple, text.encode(placed, words).select("doc_id", "pos", "token").collect()))
+        assert got == sorted((r.doc_id, r.pos, want[r.word]) for r in placed.collect())
+    assert text.encode(placed.where("false"), text.dictionary(placed.where("false"))).count() == 0
