@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.session import materialise as store
+from spanloom.session import shared_folder
+
+__all__ = ["RangeHash", "mix64", "partitions", "pieces", "shared_folder", "slices", "small", "store", "trimmed", "unused", "utf8"]
+
 #: A side of a join is broadcast only up to this many bytes (rows counted first); beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -20,27 +23,6 @@ _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only for a local[...] session without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def store(df: DataFrame, label: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: it outlives its executors and is never computed again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, row_bytes: int = 160) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes is within BROADCAST_BYTES, else df as it is, to be joined by a shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
