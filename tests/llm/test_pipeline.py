@@ -5,7 +5,10 @@ from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
-from spanloom.llm import decontamination, mixing, simhash, toxicity
+from spanloom.llm import decontamination, mixing, simhash
+
+
+VILE = [f"vile{i}" for i in range(6)]
 
 
 def write(spark, tmp_path):
@@ -13,22 +16,22 @@ def write(spark, tmp_path):
     words = [f"w{i}" for i in range(2500)]
     item = " ".join(f"q{i}" for i in range(30))
     docs, labels = [], []
-    for i in range(150):
+    for i in range(240):
         own = rng.choices(words, k=rng.randint(60, 200))
-        toxic = i < 60 and i % 2
+        toxic = i < 120 and i % 3 == 0
         if toxic:
-            own[5:5] = rng.choices(["vile1", "vile2", "vile3"], k=4)
-        if i < 60:
+            own[5:5] = rng.choices(VILE, k=14)
+        if i < 120:
             labels.append((i, 0, int(toxic)))
         docs.append([i, " ".join(own)])
     for k in range(20):  # exact copies, near copies, leaks, toxic
-        docs.append([200 + k, docs[60 + k][1]])
-        near = docs[90 + k][1].split()
+        docs.append([1200 + k, docs[120 + k][1]])
+        near = docs[150 + k][1].split()
         near[7] = "changed"
-        docs.append([300 + k, " ".join(near)])
-        docs.append([400 + k, " ".join([*rng.choices(words, k=40), item, *rng.choices(words, k=40)])])
-        docs.append([500 + k, " ".join([*rng.choices(words, k=60), "vile1 vile3 vile2"])])
-    docs += [[600, ""], [601, None], [None, "some text"]]
+        docs.append([1300 + k, " ".join(near)])
+        docs.append([1400 + k, " ".join([*rng.choices(words, k=40), item, *rng.choices(words, k=40)])])
+        docs.append([1500 + k, " ".join([*rng.choices(words, k=60), *rng.choices(VILE, k=14)])])
+    docs += [[1600, ""], [1601, None], [None, "some text"]]
     rows = [(i, t, "en", f"s{n % 3}", len(t or "")) for n, (i, t) in enumerate(docs)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -50,7 +53,8 @@ def test_stages_against_brute_force(spark, tmp_path):
         out.write.parquet(path)
         got = [tuple(r) for r in spark.read.parquet(path).collect()]
         if name == "toxicity":
-            bad = {i for i, t, *_ in state if i is not None and t and set(toxicity.tokens(t)) & {"vile1", "vile2", "vile3"}}
+            # what is planted goes, all else stays; test_toxicity compares the scores themselves with brute force
+            bad = {i for i, t, *_ in state if i is not None and t and set(t.split()) & set(VILE)}
             want = [r for r in state if r[0] not in bad]
         elif name == "exact_dedup":
             first = {}
@@ -65,7 +69,8 @@ def test_stages_against_brute_force(spark, tmp_path):
             bits = np.unpackbits(prints.view(np.uint8), axis=1)
             root = {r[0]: r[0] for r in some}
             for a, b in sorted(combinations(range(len(kept)), 2)):
-                if (bits[a] != bits[b]).sum() <= simhash.RADIUS:
+                differ = bits[a] != bits[b]
+                if differ.sum() <= simhash.RADIUS and differ.reshape(-1, simhash.WORD_BITS).sum(axis=1).min() <= simhash.BALL:
                     x, y = root[some[a][0]], root[some[b][0]]
                     root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
             want = [r for r in state if r[0] not in root or root[r[0]] == r[0]]
@@ -99,6 +104,24 @@ def test_run_is_the_stages(spark, tmp_path):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() > 50
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Columns whose names clash with those of the operators, repeated rows, very long texts, nulls anywhere."""
+    rows, item = write(spark, tmp_path)
+    extra = "id long, t string, digest string, class_id long, copies string, normalised_text string, size double, keep_id long"
+    odd = [*rows, rows[200], rows[200], (2000, "long " * 200_000 + "end", None, None, None), (2001, "long " * 150_000 + item, "en", None, -5), (2002, "x y", None, "s1", None)]
+    docs = spark.createDataFrame([(*r, 1, "t", "d", 2, "c", "n", 0.5, None) for r in odd], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    left = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, left, str(tmp_path)).write.parquet(f"{tmp_path}/odd-{k}")
+        left = spark.read.parquet(f"{tmp_path}/odd-{k}")
+        ids = Counter(r["doc_id"] for r in left.select("doc_id").collect())
+        if name == "mixing":
+            assert left.columns == [*(c for c in docs.columns if c != "copies"), "copies"] and None not in ids
+        else:
+            assert left.columns == docs.columns and ids[2000] == 1 and ids[1601] == 1 and ids[None] == 1 and ids[2002] == 1
+            assert ids[rows[200][0]] == (3 if name == "toxicity" else 1) and ids[2001] == (name != "decontamination")
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     write(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
