@@ -1,20 +1,25 @@
-"""SimHash near-dedup by meet-in-the-middle ball hashing.
+"""SimHash near-dedup: all pairs of documents whose fingerprints differ in at most `radius` bits.
 
 A document's features are its different words (lower case). Its fingerprint has BITS bits, each the sign of a sum of pseudo-random
-+1 and -1 over the features, in words of `word_bits` (12 words of 32). Two documents are near duplicates if
-(1) in some word the two differ in at most BALL = 2 bits, and (2) over all words in at most `radius` bits.
-Condition 1 is the search, by balls of half that radius: every distinct fingerprint emits all variants of each word with at most one
-flipped bit (33 for 32 bits). Two words within 2 bits have a variant in common and words further apart have none, so the pairs that
-meet are exactly those of condition 1. Variants are shuffled, pairs that meet are made distinct, and condition 2 is verified on the
-whole fingerprints: every pair of near duplicates is found. For instance any pair within 3 * words - 1 bits is one. What share of
-edited copies this relation holds is a matter of the definition and measured in the tests (recall of it is 1).
-
-Variants travel as arrays, about 6 bytes each, not as rows; parts of the shuffle follow the number of fingerprints. Fingerprints that are equal
-are reduced to one class before the search, so copies (exact, reordered, in other case) cost one fingerprint. near_groups gives each
++1 and -1 over the features. Two documents are near duplicates if and only if their fingerprints differ in at most `radius` (84) of the 384 bits.
+
+The search is exact, by the pigeonhole principle twice: radius + 1 units are dealt to the six 64-bit parts of a fingerprint, and those of
+a part to its four chunks of 16 bits (85 units: 14 or 15 a part, 3 or 4 a chunk). If every part differed in at least as many bits as it has
+units, the whole would differ in more than radius; so in some part of each pair fewer bits differ, and likewise in some chunk of that part (at most 2 or 3). For each
+chunk, fingerprints are sorted by it, each value meets all values so near (137 or 697 of 65,536), and what meets is verified on the part,
+then on the whole. One XOR rejects nearly all of what meets, but the cost grows with the square of the different fingerprints (README has figures).
+A pair is given once, by the first chunk that has it. Fingerprints are split into blocks of about BLOCK; each task takes two blocks, and while there
+are few blocks, a share of the chunks.
+
+`word_bits` (32 or 64), if given, asks for a narrower relation whose cost doesn't grow with the square: near duplicates must then also have some word of
+that many bits in which they differ in at most BALL = 2 bits. This leaves out pairs within the radius; no query uses it. Here every fingerprint emits all variants of each
+word with at most one flipped bit (33 for 32 bits): two words within 2 bits have a variant in common and words further apart have none. Variants travel as
+arrays, about 6 bytes each; pairs that meet are made distinct and verified on the whole fingerprints. Words of 32 bits suit up to some 10**8 different
+fingerprints: beyond, unrelated ones meet by chance so often that the pairs to verify outgrow the rest.
+
+Fingerprints that are equal are reduced to one class before the search, so copies (exact, reordered, in other case) cost one fingerprint. near_groups gives each
 document's group and number of links, near_duplicates the pairs between the representatives (smallest ids) of all classes, and each member
 with its representative. Nothing is capped.
-A word of 32 bits suits up to some 10**8 different fingerprints: beyond, unrelated ones meet by chance so often that the pairs to verify outgrow the rest;
-word_bits=64 (6 words) then costs fewer, and longer, variants.
 
 Defined results: null ids and texts, and texts without any word, have no fingerprint and no pair; repeated rows of an id pair
 only with other ids; an id with several texts is in several classes; pairs are (smaller id, larger id); very long texts count whole; other
@@ -39,7 +44,11 @@ BALL = 2
 RADIUS = 84
 #: Variants whose meeting one task holds.
 PART_VARIANTS = 4_000_000
+#: Fingerprints in a block; a task holds two blocks.
+BLOCK = 500_000
 _PAIRS = 2_000_000
+_CELLS = 1 << 18
+_CHUNKS = BITS // 16
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
@@ -190,7 +199,139 @@ def _meet(word_bits: int = WORD_BITS):
     return run
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, word_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _dealt(units: int, hands: int) -> list[int]:
+    return [units // hands + (i < units % hands) for i in range(hands)]
+
+
+def _units(radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units of each 64-bit part and of each 16-bit chunk: some part, and some chunk of it, differs in fewer bits than these in every pair within the radius."""
+    parts = _dealt(max(0, radius + 1), BITS // 64)
+    return np.array(parts), np.array([n for units in parts for n in _dealt(units, 4)])
+
+
+def _sorted_by(chunk: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the fingerprints by this chunk, the part that has the chunk in this order, and where each value of the chunk begins."""
+    keys = np.ascontiguousarray(prints.view(np.uint16)[:, chunk])
+    order = np.argsort(keys, kind="stable")
+    return order, prints[order, chunk // 4], np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << 16))])
+
+
+def _within(x: np.ndarray, y: np.ndarray | None, chunks: list[int], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y, distances) of the pairs within the radius whose first chunk is one of these; pairs within x, each once, if y is None."""
+    part_units, chunk_units = _units(radius)
+    weight = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
+    for chunk in chunks:
+        masks, most = np.flatnonzero(weight < chunk_units[chunk]), np.uint8(min(255, part_units[chunk // 4]))
+        order, part, begins = _sorted_by(chunk, x)
+        other_order, other_part, other_begins = (order, part, begins) if y is None else _sorted_by(chunk, y)
+        other_sizes, count = np.diff(other_begins), np.arange(max(len(order), len(other_order)))
+        for key in np.flatnonzero(np.diff(begins)).tolist():
+            near = masks ^ key
+            if y is None:
+                near = near[near >= key]
+            sizes = other_sizes[near]
+            ends = sizes.cumsum()
+            n = int(ends[-1]) if len(ends) else 0
+            if not n:
+                continue
+            at = (other_begins[near] - ends + sizes).repeat(sizes)
+            at += count[:n]
+            meets = other_part[at]
+            step = max(1, _CELLS // n)
+            for begin in range(int(begins[key]), last := int(begins[key + 1]), step):
+                own = part[begin : min(begin + step, last)]
+                found = (np.bitwise_count(own[:, None] ^ meets) < most).ravel().nonzero()[0]
+                if not len(found):
+                    continue
+                a, b = begin + found // n, at[found % n]
+                if y is None:  # values are met upwards; of equal ones, and of itself, the order decides
+                    a, b = a[keep := (b > a)], b[keep]
+                a, b = order[a], other_order[b]
+                for i in range(0, len(a), _CELLS):
+                    yield from _verified(a[i : i + _CELLS], b[i : i + _CELLS], x, x if y is None else y, chunk, radius)
+
+
+def _verified(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, chunk: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    part_units, chunk_units = _units(radius)
+    differ = x[a] ^ y[b]
+    parts = np.bitwise_count(differ)
+    distance = parts.sum(axis=1, dtype=np.int32)
+    near = np.flatnonzero(distance <= radius)
+    if len(near):
+        meet = (np.bitwise_count(differ[near].view(np.uint16)) < chunk_units) & np.repeat(parts[near] < part_units, 4, axis=1)
+        near = near[meet.argmax(axis=1) == chunk]
+        if len(near):
+            yield a[near], b[near], distance[near]
+
+
+def _search(shares: int, radius: int):
+    """Pairs (a, b, distance) of the classes of each part: rows (part, side, class, f0, f1, ...), where part % shares is the share of the chunks."""
+    by_cost = np.argsort(-_units(radius)[1], kind="stable")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            some = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
+            for column, values in zip(columns, (some[0], some[1], some[2], np.stack(some[3:], axis=1).view(np.uint64))):
+                column.append(values.copy())
+        if not columns[0]:
+            return
+        part, side, ids, prints = (np.concatenate(column) for column in columns)
+        columns.clear()
+        for p in np.unique(part):
+            chunks = by_cost[p % shares :: shares].tolist()
+            left, right = (np.flatnonzero((part == p) & (side == s)) for s in (0, 1))
+            # the pairs of a block with itself have one side (-1)
+            alone = np.flatnonzero((part == p) & (side == -1))
+            found, held = [], 0
+            pairs = _within(prints[alone], None, chunks, radius) if len(alone) else _within(prints[left], prints[right], chunks, radius)
+            ids_x, ids_y = (ids[alone], ids[alone]) if len(alone) else (ids[left], ids[right])
+            for a, b, distance in pairs:
+                found.append((ids_x[a], ids_y[b], distance))
+                held += len(a)
+                if held >= _PAIRS:
+                    yield from _distance_rows(found)
+                    found, held = [], 0
+            if found:
+                yield from _distance_rows(found)
+
+    return run
+
+
+def _distance_rows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    a, b, distance = (np.concatenate(x) for x in zip(*found))
+    for i in range(0, len(a), 100_000):
+        some = slice(i, i + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[some], b[some])), pa.array(np.maximum(a[some], b[some])), pa.array(distance[some])], ["a", "b", "distance"])
+
+
+def _all_within(classes: DataFrame, names: list[str], radius: int) -> DataFrame:
+    """Pairs (a, b, distance), a < b, of all classes within the radius, each once."""
+    n = classes.count()
+    blocks = -(-n // BLOCK) or 1
+    pairs = blocks * (blocks + 1) // 2
+    shares = max(1, min(_CHUNKS // pairs, n // 1000 + 1))
+    block = F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    sent = classes.select("class", *names, block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    part = ((high * (high + 1) / 2 + low) * shares + F.col("share")).cast("int")
+    side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") == high).cast("int"))
+    sent = sent.select(part.alias("part"), side.alias("side"), "class", *names)
+    return sent.repartitionById(pairs * shares, F.col("part")).mapInArrow(trimmed(_search(shares, radius)), "a long, b long, distance int")
+
+
+def _near_words(classes: DataFrame, names: list[str], radius: int, word_bits: int) -> DataFrame:
+    """Pairs (a, b, distance) of the classes within the radius that have some word within BALL bits."""
+    parts = max(partitions(classes.sparkSession), classes.count() * (BITS // word_bits) * (word_bits + 1) // PART_VARIANTS + 1)
+    emitted = classes.select("class", *names).mapInArrow(trimmed(_emit(parts, word_bits)), "part int, ids binary, counts binary, tag binary, variant binary")
+    pairs = emitted.repartitionById(parts, F.col("part")).mapInArrow(trimmed(_meet(word_bits)), "a long, b long").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names)), side)
+    distance = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
+    return pairs.select("a", "b", distance.cast("int").alias("distance")).where(F.col("distance") <= radius)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, word_bits: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, class), classes (class, root), and pairs of classes (a, b, distance) within the radius.
 
     A class is one fingerprint and its root the smallest id that has it. An id with several texts may be in several classes.
@@ -199,23 +340,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, word_bits
     prints = store(fingerprints(docs, id_col, text_col), "fingerprints")
     # stored with the numbers, so that they are given once
     classes = store(prints.groupBy(*names).agg(F.min("id").alias("root")).select(F.monotonically_increasing_id().alias("class"), *names, "root"), "classes")
-    parts = max(partitions(docs.sparkSession), classes.count() * (BITS // word_bits) * (word_bits + 1) // PART_VARIANTS + 1)
-    emitted = classes.select("class", *names).mapInArrow(trimmed(_emit(parts, word_bits)), "part int, ids binary, counts binary, tag binary, variant binary")
-    pairs = emitted.repartitionById(parts, F.col("part")).mapInArrow(trimmed(_meet(word_bits)), "a long, b long").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("class").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names)), side)
-    distance = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    verified = pairs.select("a", "b", distance.cast("int").alias("distance")).where(F.col("distance") <= radius)
+    verified = _all_within(classes, names, radius) if word_bits is None else _near_words(classes, names, radius, word_bits)
     members = prints.join(classes, names).select("id", "class").distinct()
     return members, classes.select("class", "root"), verified
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, word_bits: int = WORD_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, word_bits: int | None = WORD_BITS) -> DataFrame:
     """Rows (doc_a, doc_b, distance), doc_a < doc_b: the pairs of near duplicates among the representatives of classes, and
     each further member of a class with its representative, at distance 0.
 
     A class is all documents of one fingerprint, its representative the smallest id. Two documents are near duplicates if and only if
     their classes are the same or paired, so no link is lost, and rows don't grow with the square of the copies.
+    With word_bits None these are all pairs within the radius; by default, the narrower relation of 32-bit words.
     """
     members, classes, verified = _classes(docs, id_col, text_col, radius, word_bits)
     near = verified.join(classes.select(F.col("class").alias("a"), F.col("root").alias("x")), "a").join(classes.select(F.col("class").alias("b"), F.col("root").alias("y")), "b").select("x", "y", "distance")
@@ -223,7 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _ordered(near.unionAll(equal))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, word_bits: int = WORD_BITS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, word_bits: int | None = None) -> DataFrame:
     """Rows (doc_id, class_id, n_links) of the documents that have near duplicates: the smallest id of the connected group, and the
     number of documents that are near duplicates of this one.
 
@@ -268,7 +404,7 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         edges = store(step.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(step.select("u", F.col("m"))).distinct(), "edges")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, word_bits: int = WORD_BITS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, word_bits: int | None = None) -> DataFrame:
     """docs with one document, that of the smallest id, of each connected group of near duplicates. All columns are kept."""
     groups = components(near_duplicates(docs, id_col, text_col, radius, word_bits))
     out = store(groups.where("id <> root").select(F.col("id").alias(id_col)), "near")

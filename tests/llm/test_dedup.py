@@ -169,6 +169,65 @@ def test_simhash_groups_and_links(spark):
     assert simhash.near_groups(docs_of(spark, [])).count() == 0
 
 
+def brute_within(rows, radius=simhash.RADIUS):
+    """All pairs of ids whose fingerprints differ in at most radius bits, whatever their words."""
+    texts = [(i, t.lower().encode()) for i, t in rows if i is not None and t]
+    data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
+    kept, prints = simhash.fingerprints_of(data, np.cumsum([0, *(len(t) for _, t in texts)]))
+    bits = np.unpackbits(prints.view(np.uint8), axis=1)
+    return {(min(a, b), max(a, b)) for (x, a), (y, b) in combinations([(k, texts[k][0]) for k in kept], 2) if a != b and (bits[x] != bits[y]).sum() <= radius}
+
+
+def groups_of(pairs):
+    links, root = defaultdict(int), {}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        root.setdefault(a, a), root.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return sorted((i, root[i], links[i]) for i in links)
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 30, 1])
+def test_simhash_groups_hold_every_pair_within_the_radius(spark, monkeypatch, block):
+    rows = near_corpus(31, 12 if block == 1 else 30)
+    rows += [(1000 + i, t.upper()) for i, t in rows[:12]]
+    pairs, narrow = brute_within(rows), brute_near(rows)
+    assert narrow.keys() < pairs  # some pairs within the radius have no word within two bits
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    assert sorted(map(tuple, simhash.near_groups(docs_of(spark, rows)).collect())) == groups_of(pairs)
+    got = {(r[0], r[1]): r[2] for r in simhash.near_duplicates(docs_of(spark, rows), word_bits=None).collect()}
+    assert linked(rows, got).keys() == pairs
+
+
+@pytest.mark.parametrize("radius", [-1, 0, 4, 35, 84, 110, 150])
+def test_simhash_search_by_chunks(radius):
+    rng = np.random.default_rng(radius + 1)
+    prints = rng.integers(0, 1 << 63, (220, 6), dtype=np.uint64) | rng.integers(0, 2, (220, 6), dtype=np.uint64) << np.uint64(63)
+    bits = np.unpackbits(prints.view(np.uint8), axis=1)
+    for k in range(100):  # pairs about the radius, their differences spread evenly or at random; one chunk in common by many
+        n = max(0, radius + k % 3 - 1)
+        bits[k + 100] = bits[k]
+        bits[k + 100, np.arange(n) * 384 // max(1, n) if k % 2 else rng.choice(384, n, replace=False)] ^= 1
+    bits[60:90, :16] = bits[0, :16]
+    prints = np.packbits(bits, axis=1).view(np.uint64)
+    differ = (bits[:, None] != bits[None]).sum(axis=2)
+    for x, y in ((prints, None), (prints[:130], prints[130:]), (prints[:0], prints), (prints, prints[:0])):
+        found = [(a, b, d) for share in range(5) for some in simhash._within(x, y, list(range(share, 24, 5)), radius) for a, b, d in zip(*(v.tolist() for v in some))]
+        if y is None:
+            found = [(min(a, b), max(a, b), d) for a, b, d in found]
+        want = [(a, b, differ[a, b]) for a in range(220) for b in range(a + 1, 220) if differ[a, b] <= radius]
+        if y is not None:
+            want = [(a, b - len(x), d) for a, b, d in want if a < len(x) <= b] if len(x) and len(y) else []
+        assert sorted(found) == sorted(want)
+
+
 def test_simhash_large_buckets():
     groups = np.arange(2 * 1500).reshape(2, 1500)
     assert sum(len(x) for x, _ in simhash._groups_pairs(groups)) == 1500 * 1499
