@@ -127,3 +127,31 @@ def test_stages_take_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_near_stage_drops_every_pair_within_the_radius(spark, tmp_path):
+    import numpy as np
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(200):  # pairs of texts that differ in some 8 to 15 % of their words
+        own = rng.choices(words, k=rng.randint(60, 300))
+        other = list(own)
+        for _ in range(int(len(own) * rng.uniform(0.08, 0.15))):
+            other[rng.randrange(len(other))] = rng.choice(words)
+        texts += [own, other]
+    rows = [(i, " ".join(t), f"s{i % 3}") for i, t in enumerate(texts)]
+    _, prints = simhash.fingerprints_of(np.frombuffer("".join(t for _, t, _ in rows).encode(), np.uint8), np.cumsum([0, *(len(t) for _, t, _ in rows)]))
+    bits = np.unpackbits(prints.view(np.uint8), axis=1)
+    root, narrow = list(range(len(rows))), 0
+    for a, b in combinations(range(len(rows)), 2):
+        differ = bits[a] != bits[b]
+        if differ.sum() <= simhash.RADIUS:
+            narrow += differ.reshape(-1, simhash.WORD_BITS).sum(axis=1).min() > simhash.BALL
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert narrow > 5  # pairs without any word within two bits
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_stage(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [r for r in rows if root[r[0]] == r[0]]
