@@ -19,11 +19,12 @@ fingerprints: beyond, unrelated ones meet by chance so often that the pairs to v
 
 Fingerprints that are equal are reduced to one class before the search, so copies (exact, reordered, in other case) cost one fingerprint. near_groups gives each
 document's group and number of links, near_duplicates the pairs between the representatives (smallest ids) of all classes, and each member
-with its representative. Nothing is capped.
+with its representative; drop_near_duplicates leaves one text of each group. Nothing is capped.
 
 Defined results: null ids and texts, and texts without any word, have no fingerprint and no pair; repeated rows of an id pair
 only with other ids; an id with several texts is in several classes; pairs are (smaller id, larger id); very long texts count whole; other
-columns are ignored, whatever their names; no rows give no rows.
+columns are ignored, whatever their names; no rows give no rows. drop_near_duplicates goes by id and text, not by id alone: near duplicates of
+one id are reduced to one too, and a text doesn't fall with another text of its id.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import RangeHash, mix64, partitions, slices, small, store, trimmed, utf8
+from spanloom.llm.common import RangeHash, mix64, partitions, slices, small, store, trimmed, unused, utf8
 
 WORD_BITS = 32
 BITS = 384
@@ -90,18 +91,23 @@ def fingerprints_of(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return np.array(rows, np.int64), np.array(prints, np.uint64).reshape(-1, BITS // 64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, f0, f1, ...): the 64-bit parts of each fingerprint."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """Rows (id, f0, f1, ...): the 64-bit parts of each fingerprint; with digest also the text's, as the last column."""
     names = [f"f{i}" for i in range(BITS // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, prints = fingerprints_of(*utf8(batch.column(1)))
             if len(rows):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(len(names)))], ["id", *names])
+                columns = [column.take(pa.array(rows)) for column in (batch.column(0), *batch.columns[2:])]
+                yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(len(names))), *columns[1:]], ["id", *names, *["digest"] * digest])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("t")).where("id is not null and t is not null")
-    return texts.mapInArrow(trimmed(run), "id long, " + ", ".join(f"{n} long" for n in names))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("t"), *[_digest(text_col).alias("digest")] * digest).where("id is not null and t is not null")
+    return texts.mapInArrow(trimmed(run), "id long, " + ", ".join(f"{n} long" for n in names) + ", digest string" * digest)
+
+
+def _digest(text_col: str) -> Column:
+    return F.sha2(F.col(text_col).cast("binary"), 256)
 
 
 def _kind(word_bits: int) -> np.dtype:
@@ -331,6 +337,10 @@ def _near_words(classes: DataFrame, names: list[str], radius: int, word_bits: in
     return pairs.select("a", "b", distance.cast("int").alias("distance")).where(F.col("distance") <= radius)
 
 
+def _verified_pairs(classes: DataFrame, names: list[str], radius: int, word_bits: int | None) -> DataFrame:
+    return _all_within(classes, names, radius) if word_bits is None else _near_words(classes, names, radius, word_bits)
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, word_bits: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, class), classes (class, root), and pairs of classes (a, b, distance) within the radius.
 
@@ -340,7 +350,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, word_bits
     prints = store(fingerprints(docs, id_col, text_col), "fingerprints")
     # stored with the numbers, so that they are given once
     classes = store(prints.groupBy(*names).agg(F.min("id").alias("root")).select(F.monotonically_increasing_id().alias("class"), *names, "root"), "classes")
-    verified = _all_within(classes, names, radius) if word_bits is None else _near_words(classes, names, radius, word_bits)
+    verified = _verified_pairs(classes, names, radius, word_bits)
     members = prints.join(classes, names).select("id", "class").distinct()
     return members, classes.select("class", "root"), verified
 
@@ -405,7 +415,18 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, word_bits: int | None = None) -> DataFrame:
-    """docs with one document, that of the smallest id, of each connected group of near duplicates. All columns are kept."""
-    groups = components(near_duplicates(docs, id_col, text_col, radius, word_bits))
-    out = store(groups.where("id <> root").select(F.col("id").alias(id_col)), "near")
-    return docs.join(small(out, out.count()), id_col, "left_anti").select(*docs.columns)
+    """docs with one text, that of the smallest id, of each connected group of near duplicates. All columns are kept.
+
+    Groups are of texts: those of one id may be in several groups, and if they are near duplicates, the one of the least digest stays. Equal rows go or stay together.
+    """
+    names = [f"f{i}" for i in range(BITS // 64)]
+    prints = store(fingerprints(docs, id_col, text_col, digest=True), "fingerprints")
+    classes = store(prints.groupBy(*names).agg(F.min(F.struct("id", "digest")).alias("first")).select(F.monotonically_increasing_id().alias("class"), *names, "first"), "classes")
+    groups = components(_verified_pairs(classes, names, radius, word_bits), "a", "b").select(F.col("id").alias("class"), F.col("root").alias("group"))
+    linked = store(classes.join(groups, "class").select("class", "group", "first"), "linked")
+    kept = linked.join(linked.groupBy("group").agg(F.min("first").alias("kept")), "group").select("class", "kept")
+    each = classes.join(kept, "class", "left").select(*names, F.coalesce("kept", "first").alias("kept"))
+    out = prints.join(each, names).where(F.struct("id", "digest") != F.col("kept"))
+    key = unused(docs, "text_digest")
+    out = store(out.select(F.col("id").alias(id_col), F.col("digest").alias(key)).distinct(), "near")
+    return docs.withColumn(key, _digest(text_col)).join(small(out, out.count()), [id_col, key], "left_anti").select(*docs.columns)

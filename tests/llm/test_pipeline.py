@@ -155,3 +155,39 @@ def test_near_stage_drops_every_pair_within_the_radius(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = corpus_pipeline.near_stage(spark, docs, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [r for r in rows if root[r[0]] == r[0]]
+
+
+def test_near_stage_goes_by_text_where_ids_repeat(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n in range(160):  # few ids, so that near copies of a text have its id, or one that has other texts too
+        own = rng.choices(words, k=rng.randint(80, 200))
+        rows.append((rng.randrange(60), " ".join(own), f"s{n}"))
+        for _ in range(n % 3):
+            other = list(own)
+            for _ in range(len(own) // 20):
+                other[rng.randrange(len(other))] = rng.choice(words)
+            rows.append((rng.choice([rows[-1][0], rng.randrange(60)]), " ".join(other), f"s{n}"))
+    rows += [(1000, "some words here", "s"), (1000, "HERE some words", "s"), (None, rows[0][1], "s"), (1001, None, "s"), (1001, "", "s")]
+    some = [k for k, (i, t, _) in enumerate(rows) if i is not None and t]
+    texts = [rows[k][1].lower().encode() for k in some]
+    _, prints = simhash.fingerprints_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    bits = np.unpackbits(prints.view(np.uint8), axis=1)
+    rank = {k: (rows[k][0], hashlib.sha256(rows[k][1].encode()).hexdigest()) for k in some}
+    root, own_id = {k: k for k in some}, 0
+    for a, b in combinations(range(len(some)), 2):
+        if (bits[a] != bits[b]).sum() <= simhash.RADIUS:
+            x, y = root[some[a]], root[some[b]]
+            low = min(x, y, key=rank.get)
+            root = {k: low if r in (x, y) else r for k, r in root.items()}
+            own_id += rows[some[a]][0] == rows[some[b]][0]
+    assert own_id > 20  # pairs of one id
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_digest string")
+    got = corpus_pipeline.near_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for k, r in enumerate(rows) if root.get(k, k) == k), key=str)
