@@ -45,7 +45,12 @@ def dictionary(*word_tables: DataFrame) -> DataFrame:
     every = word_tables[0].select("word")
     for t in word_tables[1:]:
         every = every.unionAll(t.select("word"))
-    ordered = every.where("word is not null").groupBy("word").agg(F.count("*").alias("n")).repartitionByRange("word").select("word", F.col("n").alias("many"), F.spark_partition_id().alias("part"))
+    return ranked(every.groupBy("word").agg(F.count("*").alias("n")))
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """The dictionary of different words and their numbers (word, n)."""
+    ordered = counts.where("word is not null").repartitionByRange("word").select("word", F.col("n").alias("many"), F.spark_partition_id().alias("part"))
     ordered = materialise(ordered, "words")
     sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
     shifts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))

@@ -85,8 +85,9 @@ def exhaustive(signatures: DataFrame, windows: DataFrame, config: SearchConfig,
         own = first
     else:
         covers = materialise(covers, "candidates")
-        # one read of all lists, for candidates alone: no union of what was read before with the rest
-        own = met(ranked.select("query_id", "h", "token"), windows).join(covers.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        # one read of all lists, for candidates alone: lists and documents of candidates meet windows, so no other window meets a query
+        asked = ranked.select("query_id", "h", "token").join(covers.select("query_id", "doc_id"), "query_id")
+        own = windows.join(asked, ["h", "token", "doc_id"]).select("query_id", "h", "doc_id", "l", "c", "r")
     return Found(max_cover(own, config.matches), covers)
 
 
@@ -94,12 +95,11 @@ def once(found: Found) -> DataFrame:
     """Matches that a search reports which tries candidates from the best prefix cover down (then from the greatest id) and, once
     one has matched, goes on only with those whose cover equals the very best."""
     matches, prefix = materialise(found.matches, "matches"), materialise(found.prefix, "prefix")
-    ok = matches.select("query_id", "doc_id").distinct().withColumn("ok", F.lit(True))
-    order = Window.partitionBy("query_id").orderBy(F.desc("n_prefix"), F.desc("doc_id"))
-    ranked = prefix.join(ok, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "n_prefix", F.coalesce("ok", F.lit(False)).alias("ok"), F.row_number().over(order).alias("place"))
-    own = Window.partitionBy("query_id")
-    chosen = ranked.withColumn("first", F.min(F.when(F.col("ok"), F.col("place"))).over(own)).withColumn("top", F.max("n_prefix").over(own))
-    chosen = chosen.where("ok and (place = first or (place > first and n_prefix = top))").select("query_id", "doc_id")
+    # no order of all candidates is needed: only the greatest cover of a query, and its best candidate that matched
+    hit = matches.select("query_id", "doc_id").distinct().join(prefix, ["query_id", "doc_id"])
+    first = hit.groupBy("query_id").agg(F.max(F.struct("n_prefix", "doc_id")).alias("first"))
+    top = prefix.groupBy("query_id").agg(F.max("n_prefix").alias("top"))
+    chosen = hit.join(first, "query_id").join(top, "query_id").where("n_prefix = top or (n_prefix = first.n_prefix and doc_id = first.doc_id)").select("query_id", "doc_id")
     return matches.join(chosen, ["query_id", "doc_id"], "left_semi")
 
 

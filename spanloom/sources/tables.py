@@ -18,8 +18,7 @@ def write_windows(windows: DataFrame, path: str, epoch: int | None = None, mode:
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
     """All functions and epochs: reading is the merge, since epochs hold different documents."""
-    df = spark.read.parquet(path)
-    return df.select(F.col("h").cast("int").alias("h"), "token", "doc_id", "l", "c", "r")
+    return spark.read.schema("h int, token int, doc_id long, l int, c int, r int").parquet(path).select("h", "token", "doc_id", "l", "c", "r")
 
 
 def compact_epochs(spark: SparkSession, path: str, out: str) -> None:
