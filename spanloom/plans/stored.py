@@ -1,8 +1,8 @@
 """Indexes that are built once, stored, and searched as often as one likes.
 
-A stored index is a folder: windows (by function, sorted by token and document within a file), lists and documents (windows and documents of each
-list), zones (zone maps of the `zone_lists` longest lists of each function), config (the parameters). A search joins its queries' lists with the stored windows:
-the partition by function and the minima and maxima of row groups leave out what no query names.
+A stored index is a folder: windows (segments of documents by function, sorted by token and document within a file), lists and documents (windows and documents of each
+list), zones (zone maps of the `zone_lists` longest lists of each function), config (the parameters). A search reads each segment in one task, which has
+all windows of its documents.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from spanloom.config import BuildConfig, SearchConfig
 from spanloom.operators import index
 from spanloom.operators.windows import compact_windows
-from spanloom.plans import search
-from spanloom.sources import tables
+from spanloom.plans import match, search
+from spanloom.session import materialise
+from spanloom.sources import segments, tables
 
 
 @dataclass(frozen=True)
@@ -35,12 +36,11 @@ def build(docs: DataFrame, config: BuildConfig, path: str, stopwords: list[int]
     """Builds and stores the index of documents (doc_id, tokens); with a doc_limit only of those with ids below it."""
     spark = docs.sparkSession
     own = docs if config.doc_limit is None else docs.where(F.col("doc_id") < config.doc_limit)
-    tables.write_windows(compact_windows(own, config.k, config.t, stopwords, config.first_seed), f"{path}/windows", mode="overwrite")
-    stored = tables.read_windows(spark, f"{path}/windows")
-    index.list_index(stored).write.mode("overwrite").parquet(f"{path}/lists")
-    index.doc_index(stored).write.mode("overwrite").parquet(f"{path}/documents")
+    counts = materialise(segments.write(own, config.k, config.t, f"{path}/windows", stopwords, config.first_seed), "counts")
+    index.with_offsets(counts).write.mode("overwrite").parquet(f"{path}/lists")
+    counts.select("h", "token", "n_docs").write.mode("overwrite").parquet(f"{path}/documents")
     longest = index.longest_lists(spark.read.parquet(f"{path}/lists"), config.zone_lists)
-    index.zone_map(stored, config.zone_interval, longest).write.mode("overwrite").parquet(f"{path}/zones")
+    index.zone_map(segments.chosen(tables.read_windows(spark, f"{path}/windows"), longest), config.zone_interval).write.mode("overwrite").parquet(f"{path}/zones")
     # written last: a folder without it is no whole index
     spark.createDataFrame([asdict(config)], BuildConfig.SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
     return load(spark, path)
@@ -57,7 +57,13 @@ def search_stored(stored: StoredIndex, placed: DataFrame, config: SearchConfig,
         raise ValueError("a search has the k and t of its index")
     chunks = search.query_chunks(search.sampled(placed, config, id_col), config.chunk, id_col)
     signatures = search.least_tokens(chunks, config.k, first_seed=stored.config.first_seed)
-    return search.exhaustive(signatures, stored.windows, config, stored.lists)
+    signatures = materialise(signatures, "signatures")
+    if signatures.count() > match.MOST_LISTS:
+        return search.exhaustive(signatures, stored.windows, config, stored.lists)
+    config = config.effective()
+    q = match.Queries.collect(search.ranked_lists(signatures, stored.lists), config.prefix)
+    found, prefix = (match.search_segments(stored.windows.sparkSession, f"{stored.path}/windows", q, kind) for kind in (match.best_covers(config.matches), match.best_of_prefix(config.prefix_matches)))
+    return search.Found(found, prefix)
 
 
 def grid(docs: DataFrame, doc_limits: list[int | None], ks: list[int], ts: list[int]) -> DataFrame:

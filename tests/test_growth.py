@@ -45,6 +45,32 @@ def test_whole_texts_have_the_words_of_rows(spark):
     assert "MapInArrow" in plan(whole_texts.word_counts(docs)) and "Generate" not in plan(whole_texts.word_counts(docs))
 
 
+def test_zones_over_many_batches(spark):
+    rng = random.Random(4)
+    lists = [(h, t, d, rng.randint(1, 4)) for h in range(2) for t in range(30) for d in range(rng.choice([1, 2, 300]))]
+    want = []
+    for h, t in sorted({x[:2] for x in lists}):
+        passed, begun, zone = 0, 0, -1
+        for *_, d, n in sorted(x for x in lists if x[:2] == (h, t)):
+            if zone < 0 or passed - begun >= 7:
+                zone, begun = zone + 1, passed
+                want.append((h, t, zone, d, 16 * passed))
+            passed += n
+    counts = spark.createDataFrame(lists, "h int, token int, doc_id long, n long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "13", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            zones = index.zones_of_counts(counts, 7)
+            assert rows(zones) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    places = counts.select("h", "token").distinct().crossJoin(spark.createDataFrame([(0,), (5,), (200,)], "doc_id long"))
+    found = index.zone_of(zones, places)
+    assert rows(found) == sorted((h, t, d, max(z[4] for z in want if z[:2] == (h, t) and z[3] <= d)) for h, t in {x[:2] for x in lists} for d in (0, 5, 200))
+    assert "Join" not in plan(index.zone_of(spark.createDataFrame(want, zones.schema), spark.createDataFrame([(0, 1, 2)], "h int, token int, doc_id long")))
+
+
 def test_search_by_documents_equals_joins(spark):
     docs, k, t = docs_of(spark, 40, 12, 60), 8, 4
     rng = random.Random(5)
@@ -77,6 +103,35 @@ def test_search_by_documents_equals_joins(spark):
         match._TABLE, match.SWEPT = 1 << 23, 1 << 18
 
 
+def test_segments_are_whole_and_in_order(spark):
+    docs, path = docs_of(spark, 80), fresh_path(spark, "segments")
+    own = rows(compact_windows(docs, 3, 4), *WINDOW)
+    for _ in range(2):  # what was there is replaced
+        counts = segments.write(docs.repartition(2), 3, 4, path, segment=500)
+    assert rows(tables.read_windows(spark, path)) == own and tuple(index.order_violations(spark, path).first()) == (0, len(own))
+    assert rows(counts, "h", "token", "n") == rows(compact_windows(docs, 3, 4).groupBy("h", "token").count())
+    folder = path.removeprefix("file://")
+    assert sorted(os.listdir(folder)) == ["h=0", "h=1", "h=2"] and len(os.listdir(f"{folder}/h=0")) > 4
+    files = [spark.read.parquet(f"{path}/h=0/{x}").select("doc_id").distinct() for x in os.listdir(f"{folder}/h=0")]
+    assert sum(f.count() for f in files) == len({r[2] for r in own if r[0] == 0})  # no document is in two segments
+    lists = index.longest_lists(counts, 2)
+    for most in (1, 100):
+        assert rows(segments.chosen(tables.read_windows(spark, path), lists, most), *WINDOW) == rows(index.scan_lists(compact_windows(docs, 3, 4), lists), *WINDOW)
+    empty = fresh_path(spark, "segments")
+    assert segments.write(docs.where("false"), 3, 4, empty).count() == 0 and tables.read_windows(spark, empty).count() == 0
+
+
+def test_building_an_index_shuffles_no_windows(spark):
+    docs = docs_of(spark, 50, 20)
+    config = BuildConfig(k=4, t=4, vocabulary=20, zone_interval=5, zone_lists=3)
+    own = stored.build(docs, config, fresh_path(spark, "index"))
+    w = compact_windows(docs, 4, 4)
+    assert rows(own.lists, "h", "token", "n") == rows(w.groupBy("h", "token").count()) and rows(own.zones) == rows(index.zone_map(w, 5, index.longest_lists(index.list_index(w), 3)))
+    queries = spark.createDataFrame([(q, p, (7 * q + p) % 20) for q in range(6) for p in range(8)], "item_id long, pos int, token int")
+    found = stored.search_stored(own, queries, SearchConfig(k=4, t=4, theta=0.5, prefix_ratio=1.0, chunk=8))
+    assert "SortMergeJoin" not in plan(found.matches) and "BroadcastHashJoin" not in plan(found.matches)
+
+
 def test_sweep_of_many_groups_at_once():
     rng = np.random.default_rng(6)
     group = np.sort(rng.integers(0, 40, 900))
