@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from spanloom.operators.windows import compact_windows
-from spanloom.sources.tables import write_windows
+from spanloom.sources import segments
 
 
 def epochs(docs: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
@@ -19,10 +18,10 @@ def epochs(docs: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
 def ingest(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, k: int, t: int, stopwords: list[int] | None = None) -> StreamingQuery:
     """Windows of a stream of (doc_id, tokens), one epoch for each micro-batch. A batch that is tried again overwrites its epoch.
 
-    Window generation needs nothing but its document, so there is no state and no watermark.
+    Window generation needs nothing but its document, so there is no state and no watermark, and windows are stored where they are made.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        write_windows(compact_windows(batch, k, t, stopwords), path, epoch=number, mode="overwrite")
+        segments.write(batch, k, t, f"{path}/epoch={number}", stopwords)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -132,6 +132,21 @@ def test_building_an_index_shuffles_no_windows(spark):
     assert "SortMergeJoin" not in plan(found.matches) and "BroadcastHashJoin" not in plan(found.matches)
 
 
+def test_epochs_take_one_job_whatever_their_number(spark):
+    docs, path = docs_of(spark, 120), fresh_path(spark, "epochs")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("epochs", "")
+    segments.write_epochs(ingest.epochs(docs, 2), 3, 4, path)
+    assert len(tracker.getJobIdsForGroup("epochs")) < 10
+    spark.sparkContext.setJobGroup("other", "")
+    assert rows(tables.read_windows(spark, path), *WINDOW) == rows(compact_windows(docs, 3, 4), *WINDOW)
+    assert tuple(index.order_violations(spark, path).first())[0] == 0
+    assert len([x for x in os.listdir(path.removeprefix("file://")) if x.startswith("epoch=")]) == docs.where(F.size("tokens") > 5).select(F.floor(F.col("doc_id") / 2)).distinct().count()
+    # an epoch that is written again replaces itself
+    segments.write_epochs(ingest.epochs(docs.where("doc_id in (4, 5)"), 2), 3, 4, path)
+    assert rows(tables.read_windows(spark, path), *WINDOW) == rows(compact_windows(docs, 3, 4), *WINDOW)
+
+
 def test_sweep_of_many_groups_at_once():
     rng = np.random.default_rng(6)
     group = np.sort(rng.integers(0, 40, 900))
